@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.operators import hierarchy
 from quire.sources import delimited
 
 
@@ -13,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, sf_dir, "exported_docs"))
+
+
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.path_pieces(table(spark, sf_dir, "exported_docs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.rejects(table(spark, sf_dir, "customer_lines"))
 
@@ -44,12 +53,22 @@ def _sql_p5(tail: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_valid": p5_valid}
+    return {"p2_found": p2_found, "p2_paths": p2_paths, "p5_found": p5_found, "p5_valid": p5_valid}
 
 
 def oracle_sql() -> dict[str, str]:
     names = ", ".join(f"c[{i + 1}] AS {name}" for i, name in enumerate(delimited.FIELDS))
     return {
+        "p2_found": """
+            WITH RECURSIVE e AS (SELECT id, max(CASE WHEN previous_id > 0 THEN previous_id ELSE -1 END) AS p FROM exported_docs WHERE id IS NOT NULL GROUP BY id),
+            down(id, root_id, depth) AS (
+                SELECT id, id, 0::BIGINT FROM e WHERE p NOT IN (SELECT id FROM e)
+                UNION ALL SELECT e.id, down.root_id, down.depth + 1 FROM e JOIN down ON e.p = down.id),
+            endless AS (SELECT id, p FROM e WHERE id NOT IN (SELECT id FROM down)),
+            up(id, anc) AS (SELECT id, p FROM endless UNION SELECT up.id, endless.p FROM up JOIN endless ON endless.id = up.anc),
+            loops AS (SELECT id FROM up WHERE id = anc)
+            SELECT id, root_id, depth FROM down
+            UNION ALL SELECT up.id, min(up.anc), -1 FROM up WHERE up.anc IN (SELECT id FROM loops) GROUP BY up.id""",
         "p5_found": _sql_p5("SELECT line_no, reason FROM r WHERE reason IS NOT NULL"),
         "p5_valid": _sql_p5(f"SELECT line_no, {names} FROM r WHERE reason IS NULL"),
     }
