@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.operators import hierarchy
+from quire.operators import changes, hierarchy
 from quire.sources import delimited
 
 
@@ -22,6 +23,17 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.path_pieces(table(spark, sf_dir, "exported_docs"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = changes.apply_changes(table(spark, sf_dir, "doc_records"), table(spark, sf_dir, "index_updates"))
+    return changes.current(state).select(F.col("doc_id").alias("new_doc_id"), F.col("seq").alias("commit_seq"))
+
+
+def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, feed = table(spark, sf_dir, "doc_records"), table(spark, sf_dir, "index_updates")
+    now = changes.current(changes.apply_changes(base, feed)).select("doc_id", "seq")
+    return changes.current_documents(base, feed, now)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.rejects(table(spark, sf_dir, "customer_lines"))
 
@@ -52,8 +64,17 @@ def _sql_p5(tail: str) -> str:
         {tail}"""
 
 
+_SQL_P4 = """
+    WITH a AS (
+        SELECT id AS d, commit_seq AS s, coalesce(previous_id, 0) AS p, deleted AS x, FALSE AS gone, coll_name AS n, document AS t FROM doc_records
+        UNION ALL SELECT new_doc_id, commit_seq, coalesce(old_doc_id, 0), deleted, new_doc_id = coalesce(old_doc_id, 0), coll_name, new_doc FROM index_updates WHERE new_doc_id <> 0),
+    stand AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY d ORDER BY s DESC, n DESC, t DESC) = 1),
+    kept AS (SELECT * FROM stand WHERE NOT gone),
+    now AS (SELECT * FROM kept WHERE NOT x AND d NOT IN (SELECT p FROM kept))"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_paths": p2_paths, "p5_found": p5_found, "p5_valid": p5_valid}
+    return {"p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_valid": p5_valid}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,6 +90,8 @@ def oracle_sql() -> dict[str, str]:
             loops AS (SELECT id FROM up WHERE id = anc)
             SELECT id, root_id, depth FROM down
             UNION ALL SELECT up.id, min(up.anc), -1 FROM up WHERE up.anc IN (SELECT id FROM loops) GROUP BY up.id""",
+        "p4_found": f"{_SQL_P4} SELECT d AS new_doc_id, s AS commit_seq FROM now",
+        "p4_documents": f"{_SQL_P4} SELECT d AS doc_id, s AS seq, n AS coll_name, t AS document FROM now",
         "p5_found": _sql_p5("SELECT line_no, reason FROM r WHERE reason IS NOT NULL"),
         "p5_valid": _sql_p5(f"SELECT line_no, {names} FROM r WHERE reason IS NULL"),
     }
