@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import duplicates, leakage
+from quire.llm import duplicates, leakage, residue
 from quire.llm import words as markup
 
 
@@ -43,6 +43,14 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest").alias("longest"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
 _SQL_P1 = """
     WITH t AS (SELECT row_no, list_sort(list_filter([
         regexp_replace(lower(coalesce(x, '')), '[\\s\\pZ\\pP\\pS\\pC]', '', 'g') FOR x IN [email, fname, lname, phone1]], lambda v: v <> '')) AS k FROM customers),
@@ -67,7 +75,7 @@ _SQL_P7 = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds}
 
 
 def oracle_sql() -> dict[str, str]:
