@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import duplicates, leakage, residue
+from quire.llm import duplicates, leakage, packing, residue
 from quire.llm import words as markup
 
 
@@ -43,6 +43,14 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest").alias("longest"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -75,7 +83,7 @@ _SQL_P7 = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds}
 
 
 def oracle_sql() -> dict[str, str]:
