@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import duplicates, leakage, packing, residue
+from quire.llm import duplicates, leakage, names, packing, residue
 from quire.llm import words as markup
 
 
@@ -27,6 +27,14 @@ def p1_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.collisions(table(spark, sf_dir, "customers"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entity_pairs(table(spark, sf_dir, "customers"))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(table(spark, sf_dir, "customers"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -83,7 +91,7 @@ _SQL_P7 = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_entities": p3_entities, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds}
 
 
 def oracle_sql() -> dict[str, str]:
