@@ -154,12 +154,12 @@ class View:
         if first <= exact:
             return first
         whole = max(1, self.approx_bytes())
-        width = max(1, self.df.schema.jsonValue() and self.df._jdf.schema().defaultSize())
+        width = max(1, self.df._jdf.schema().defaultSize())
         return max(first, whole // width)
 
     def approx_bytes(self) -> int:
         """Size of the selection as the optimizer's statistics have it."""
-        return int(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def documents(self, storage: DataFrame | None = None) -> DataFrame:
         """Rows with the document of each (outer: a missing document gives nulls); `storage` (id, document, ...)."""
