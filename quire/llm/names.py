@@ -236,13 +236,14 @@ def org_likelihood(a: list[str], b: list[str], common: frozenset[str]) -> float
     if len(ra) == len(rb) and len(ra) <= 4:
         best = None
         for p in permutations(rb):
-            total = 0.0
+            total, shortened = 0.0, False
             for x, y in zip(ra, p, strict=True):
                 s = typed(x, y) if not (x in common and y in common) else None
-                if s is None and (abbreviates(x, y) and y in common or abbreviates(y, x) and x in common or (abbreviates(x, y) and len(y) >= 5 and len(x) <= 5 and len(ra) == 1) or (abbreviates(y, x) and len(x) >= 5 and len(y) <= 5 and len(ra) == 1)):
+                if s is None and (abbreviates(x, y) and y in common or abbreviates(y, x) and x in common):
                     s = SHORT
+                elif s is None and not shortened and (abbreviates(x, y) and len(x) <= 6 and len(y) >= 5 or abbreviates(y, x) and len(y) <= 6 and len(x) >= 5):
+                    s, shortened = 2 * SHORT, True  # a word that is not known for being shortened, one at most
                 if s is None:
-                    # an abbreviation with an error of its own
                     total = None
                     break
                 total += s
@@ -304,7 +305,8 @@ def _given(a: list[str], ia: list[str], b: list[str], ib: list[str]) -> tuple[fl
         best = None  # an error in a nickname
         for p in fx | fy:
             for n in [p, *NICKNAMES.get(p, [])]:
-                t = typed(x if p in fy else y, n) if len(n) > 3 else None
+                wrong = x if p in fy else y
+                t = typed(wrong, n) if len(n) > 3 and wrong not in _FORMAL else None
                 if t is not None and (best is None or t > best):
                     best = t
         return None if best is None else (best + NICK, True)
@@ -331,6 +333,8 @@ def person_likelihood(a: Person, b: Person) -> tuple[float, bool] | None:
             if s is None:
                 continue
             g = _given(ga, a.initials, gb, b.initials)
+            if g is not None and s < EDIT and (g[1] or g[0] == NICK) and "".join(fa)[:2] != "".join(fb)[:2]:
+                continue  # too little of the name is as it should be
             if g is not None and (best is None or s + g[0] > best[0]):
                 best = (s + g[0], g[1])
     return best
