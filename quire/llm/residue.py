@@ -10,6 +10,7 @@ with empty slots or with non-values in them. A post is residue if all of its mes
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ SIMILAR = 0.6
 PARTS = 16
 
 SLOT, NIL, VAR = "‹slot›", "‹nil›", "‹*›"
+_OPEN = {SLOT, NIL}
 
 _names = lambda *x: "|".join(sorted({n for y in x for n in y.split()} - {"link", "title", "data", "label", "address", "time", "summary", "source", "user", "email", "caption", "section", "header", "footer", "option", "object", "code", "img", "quote"}))
 _INLINE = re.compile(rf"</?(?:{_names(HTML_INLINE)})(?:[\s/][^<>]*)?>|\[/?(?:{_names(BBCODE_INLINE)})(?:[=\s][^\[\]]*)?\]|\[email=[^\[\]]*\]|\[/(?:email|user)\]", re.I)
@@ -92,10 +94,15 @@ def skeleton(message: str) -> str:
 
 
 class Tree:
-    """Fixed-depth prefix tree of message templates."""
+    """Fixed-depth prefix tree of message templates.
+
+    A leaf finds the templates to compare with by an index of its tokens: a template that equals a message in enough places
+    does so in at least one of any few places, so those of the message's rarest tokens are all that can match.
+    """
 
     def __init__(self, depth: int = DEPTH, similar: float = SIMILAR):
-        self.depth, self.similar, self.leaves = depth, similar, {}
+        self.depth, self.similar = depth, similar
+        self.leaves: dict[str, tuple[list[list[str]], dict[tuple[int, str], list[int]]]] = {}
 
     @staticmethod
     def path(message: str, depth: int = DEPTH) -> str:
@@ -105,16 +112,22 @@ class Tree:
     def add(self, message: str) -> list[str]:
         """The template the message belongs to; its variable tokens may grow later."""
         tokens = message.split()
-        leaf = self.leaves.setdefault(self.path(message, self.depth), [])
-        best, most = None, -1.0
-        for template in leaf:
-            same = sum(a == b for a, b in zip(template, tokens, strict=True)) / len(tokens)
+        n = len(tokens)
+        templates, index = self.leaves.setdefault(self.path(message, self.depth), ([], {}))
+        need = max(1, math.ceil(self.similar * n - 1e-9))
+        found = sorted((index.get((i, t), []) for i, t in enumerate(tokens)), key=len)
+        best, most = None, need - 1
+        for j in sorted(set().union(*found[: n - need + 1])):
+            template = templates[j]
+            same = sum(map(str.__eq__, template, tokens))
             # slots and non-values are what templates are classified by: they are no variable like others
-            if same > most and all((a in (SLOT, NIL)) == (b in (SLOT, NIL)) for a, b in zip(template, tokens, strict=True)):
+            if same > most and all((a in _OPEN) == (b in _OPEN) for a, b in zip(template, tokens, strict=True)):
                 best, most = template, same
-        if best is None or most < self.similar:
-            leaf.append(list(tokens))
-            return leaf[-1]
+        if best is None:
+            for i, t in enumerate(tokens):
+                index.setdefault((i, t), []).append(len(templates))
+            templates.append(tokens)
+            return tokens
         for i, t in enumerate(tokens):
             if best[i] != t:
                 best[i] = VAR
