@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +177,22 @@ class Custom(Aggregate):
         return self.fn(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("x")))), lambda s: s["x"]))
 
 
+@dataclass
+class Pandas(Aggregate):
+    """User aggregate as a function from a pandas series to one value of the type `kind`; the order of its rows is open."""
+
+    fn: Callable
+    kind: str
+
+    def value(self, c, order):
+        fn = self.fn
+
+        def run(x: pd.Series) -> float:
+            return fn(x)
+
+        return F.pandas_udf(run, self.kind)(c)
+
+
 #: (result column, input column or expression, aggregate)
 Spec = tuple[str, str | Column, Aggregate]
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,48 @@ class IndexFunction:
         return last.select(*self.keys, *[F.col(f"_v.{v}").alias(v) for v in self.values], "doc_id", *keep)
 
 
+@dataclass(frozen=True)
+class PythonIndexFunction:
+    """As IndexFunction, for what expressions cannot say: `fn` gets batches of documents as pandas frames and gives frames of
+    rows (keys, values, doc_id) in `schema`. One call a batch, not one a document."""
+
+    keys: list[str]
+    values: list[str]
+    fn: Callable[[pd.DataFrame], pd.DataFrame]
+    schema: str
+    revision: int = 1
+
+    def rows(self, docs: DataFrame, *, id_col: str = "id", keep: list[str] = []) -> DataFrame:  # noqa: B006
+        fn = self.fn
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield fn(batch)
+
+        return docs.withColumnRenamed(id_col, "id").mapInPandas(run, self.schema)
+
+
+class NoStorage:
+    """Feeds indexes without keeping documents: ids are counted on, and looking a document up finds nothing."""
+
+    def __init__(self, functions: dict[str, IndexFunction], next_id: int = 1):
+        self.functions, self.next_id = functions, next_id
+
+    def put(self, docs: DataFrame, *, id_col: str = "id") -> dict[str, DataFrame]:
+        """Rows that `docs`, which have ids, add to each index."""
+        top = docs.agg(F.max(id_col)).first()[0]
+        self.next_id = max(self.next_id, (top or 0) + 1)
+        return {name: fn.rows(docs, id_col=id_col) for name, fn in self.functions.items()}
+
+    def erase(self, indexes: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+        """Indexes without the rows of the documents `ids` (id)."""
+        gone = ids.select(F.col("id").alias("doc_id"))
+        return {name: rows.join(gone, "doc_id", "left_anti") for name, rows in indexes.items()}
+
+    def get(self, doc_id: int) -> None:
+        return None
+
+
 def conflicts(rows: DataFrame, keys: list[str], touched: DataFrame | None = None) -> DataFrame:
     """Keys held by several documents; `touched`: only these keys are looked at."""
     if touched is not None:

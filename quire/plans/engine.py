@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.common import cut
+from quire.common import cut, scratch
 from quire.errors import CommitConflict, DatabaseError
 from quire.operators import index as ix
 from quire.operators import storage as st
@@ -82,11 +82,15 @@ class Collection:
 
 
 class Engine:
-    """`Engine(spark, root)`; with `version` or `read_only` it reads one version and writes nothing."""
+    """`Engine(spark, root)`; with `version` or `read_only` it reads one version and writes nothing. With `overlay` it can
+    be written to, but data go to a folder of their own and are dropped on closing; the root stays as it is."""
 
-    def __init__(self, spark: SparkSession, root: str, *, version: int | None = None, read_only: bool = False):
+    def __init__(self, spark: SparkSession, root: str, *, version: int | None = None, read_only: bool = False, overlay: bool = False):
         self.spark, self.files = spark, Files(spark, root)
-        self.read_only = read_only or version is not None
+        self.read_only = (read_only or version is not None) and not overlay
+        self.overlay = Files(spark, scratch(spark, "overlay")) if overlay else None
+        self.key_observers: dict[str, list[Callable[[DataFrame], None]]] = {}
+        self.auto_update: set[str] = set()
         self.version = 0
         self.collections: dict[str, Collection] = {}
         self.variables: dict[str, str] = {}
@@ -128,7 +132,7 @@ class Engine:
 
     def _commit(self, collections: dict[str, Collection], variables: dict[str, str]) -> None:
         state = {"collections": [vars(c) for c in collections.values()], "variables": variables}
-        if not self.files.write_once(f"manifest-{self.version + 1}.json", json.dumps(state)):
+        if self.overlay is None and not self.files.write_once(f"manifest-{self.version + 1}.json", json.dumps(state)):
             raise CommitConflict(f"version {self.version + 1} was committed by another writer")
         self.version, self.collections, self.variables = self.version + 1, collections, variables
 
@@ -197,7 +201,10 @@ class Engine:
         schema = c.schema or (st.SCHEMA if c.purpose == STORAGE else "")
         if not c.folders:
             return self.spark.createDataFrame([], schema or "doc_id long")
-        return self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{f}" for f in c.folders])
+        return self.spark.read.schema(schema).parquet(*[self.folder(f) for f in c.folders])
+
+    def folder(self, name: str) -> str:
+        return name if "/" in name else f"{self.files.root}/{name}"
 
     def view(self, name: str) -> View:
         """The view of an index, map, aggregate or storage."""
@@ -217,7 +224,7 @@ class Engine:
         """Files and bytes of every collection."""
         rows = []
         for c in self.collections.values():
-            sizes = [self.files.size(f"{self.files.root}/{f}") for f in c.folders]
+            sizes = [self.files.size(self.folder(f)) for f in c.folders]
             rows.append((c.name, len(c.folders), sum(a for a, _ in sizes), sum(b for _, b in sizes)))
         return self.spark.createDataFrame(rows, "name string, folders int, files int, bytes long")
 
@@ -267,7 +274,7 @@ class Engine:
     def compact_files(self, name: str, *, target_bytes: int = 128 << 20) -> None:
         """Rewrites a collection as few files, sorted by its first column for row-group skipping."""
         c = self.collections[name]
-        size = sum(self.files.size(f"{self.files.root}/{f}")[1] for f in c.folders)
+        size = sum(self.files.size(self.folder(f))[1] for f in c.folders)
         with self.batch() as b:
             rows = b.read(name)
             b.replace(name, rows.repartitionByRange(max(1, -(-size // target_bytes)), rows.columns[0]).sortWithinPartitions(rows.columns[0]))
@@ -313,10 +320,13 @@ class Engine:
                 b.replace(name, ix.update(b.read(name), feed, fn, kind))
                 b.collections[name].last_seen = s.next_id - 1
 
-    def create_aggregate(self, name: str, index: str, group: list[str], specs: list[Spec]) -> None:
-        """Opens a materialized aggregate over an index; another definition than last time builds it anew."""
+    def create_aggregate(self, name: str, index: str, group: list[str], specs: list[Spec], *, auto_update: bool = False) -> None:
+        """Opens a materialized aggregate over an index; another definition than last time builds it anew. Commits note the groups
+        they touch; `update` computes those again, with `auto_update` after every commit."""
         self.open_table(name, AGGREGATE)
         self.aggregates[name] = (index, group, specs)
+        if auto_update:
+            self.auto_update.add(name)
         mark = revision(specs, group)
         if self.collections[name].revision != mark:
             with self.batch() as b:
@@ -330,6 +340,39 @@ class Engine:
         with self.batch() as b:
             b.replace(name, refresh(b.read(name), b.read(index), dirty, group, specs))
 
+    def dirty(self, name: str) -> DataFrame | None:
+        """Groups of a materialized aggregate that changes touched since its last update; None if there are none."""
+        folders = json.loads(self.collections[name].private.get("dirty", "[]"))
+        if not folders:
+            return None
+        index, group, _ = self.aggregates[name]
+        types = dict(self.read(index).dtypes)
+        schema = ", ".join(f"`{g}` {types[g]}" for g in group)
+        return self.spark.read.schema(schema).parquet(*[self.folder(f) for f in folders]).distinct()
+
+    def update(self, name: str) -> bool:
+        """Brings a materialized aggregate up to date; False if nothing was to do."""
+        groups = self.dirty(name)
+        if groups is None:
+            return False
+        index, group, specs = self.aggregates[name]
+        with self.batch() as b:
+            b.replace(name, refresh(b.read(name), b.read(index), cut(groups), group, specs))
+            b.collections[name].private.pop("dirty", None)
+        return True
+
+    def try_update(self, name: str) -> bool:
+        """As `update`, but gives way to another writer: False then, and the groups stay noted."""
+        try:
+            return self.update(name)
+        except CommitConflict:
+            self.load()
+            return False
+
+    def observe_keys(self, name: str, observer: Callable[[DataFrame], None]) -> None:
+        """The observer gets the rows (keys, `op`: put or delete) that a change writes to an index, before the commit."""
+        self.key_observers.setdefault(name, []).append(observer)
+
     def check_storage(self, name: str) -> DataFrame:
         """Records that break the log's rules: repeated or non-positive ids, later predecessors, values of tombstones."""
         rows = self.read(name)
@@ -354,6 +397,8 @@ class Engine:
     def close(self) -> None:
         for f in self.on_close:
             f()
+        if self.overlay is not None:
+            self.overlay.delete("")
 
     def __enter__(self) -> Engine:
         return self
@@ -366,7 +411,7 @@ class Engine:
         named = set()
         for v in self.versions():
             for c in json.loads(self.files.read(f"manifest-{v}.json"))["collections"]:
-                named.update(f.split("/")[0] for f in c["folders"])
+                named.update([*c["folders"], *json.loads(c["private"].get("dirty", "[]"))])
         left = [n for n in self.files.names() if n.startswith("data-") and n not in named]
         for n in left:
             self.files.delete(n)
@@ -390,10 +435,15 @@ class Batch:
             self.engine.collections = now
 
     def _write(self, name: str, rows: DataFrame) -> str:
+        self.collections[name].schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return self._write_folder(rows)
+
+    def _write_folder(self, rows: DataFrame) -> str:
         folder = f"data-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.engine.files.root}/{folder}")
+        if self.engine.overlay is not None:
+            folder = f"{self.engine.overlay.root}/{folder}"
+        rows.write.parquet(self.engine.folder(folder))
         self._written.append(folder)
-        self.collections[name].schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
         return folder
 
     def replace(self, name: str, rows: DataFrame) -> None:
@@ -417,12 +467,30 @@ class Batch:
         c.next_id = max(c.next_id, top + 1)
         for index, (source, fn, kind) in self.engine.indexes.items():
             if source == name:
-                rows = cut(ix.update(self.read(index), feed, fn, kind))
+                old = self.read(index)
+                rows = cut(ix.update(old, feed, fn, kind))
+                self._touched(index, fn, old, feed, new)
                 self.replace(index, rows)
                 self.collections[index].last_seen = c.next_id - 1
         self._feeds[name] = feed
         return new
 
+    def _touched(self, index: str, fn: ix.IndexFunction, old: DataFrame, feed: DataFrame, new: DataFrame) -> None:
+        """Tells observers the keys that come and go, and notes the groups of the aggregates over the index."""
+        over = [(n, group) for n, (source, group, _) in self.engine.aggregates.items() if source == index]
+        observers = self.engine.key_observers.get(index, [])
+        if not over and not observers:
+            return
+        gone = old.join(feed.select(F.col("old_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*fn.keys, F.lit("delete").alias("op"))
+        come = fn.rows(new.where("not deleted")).select(*fn.keys, F.lit("put").alias("op"))
+        keys = cut(gone.unionByName(come))
+        for observer in observers:
+            observer(keys)
+        for n, group in over:
+            folder = self._write_folder(keys.select(*group).distinct())
+            c = self.collections[n]
+            c.private["dirty"] = json.dumps([*json.loads(c.private.get("dirty", "[]")), folder])
+
     def put(self, name: str, documents: DataFrame) -> DataFrame:
         """Stores `documents` (document, optionally previous_id); returns the new revisions."""
         if "previous_id" not in documents.columns:
@@ -433,7 +501,7 @@ class Batch:
         return self.append_revisions(name, st.erase(self.read(name), ids, self.collections[name].next_id))
 
     def is_big(self) -> bool:
-        return sum(self.engine.files.size(f"{self.engine.files.root}/{f}")[1] for f in self._written) > BIG_BATCH
+        return sum(self.engine.files.size(self.engine.folder(f))[1] for f in self._written) > BIG_BATCH
 
     def commit(self) -> None:
         try:
@@ -449,8 +517,11 @@ class Batch:
                 except Exception as e:  # noqa: BLE001 - shows up at the next write
                     self.engine._failure = e
         self._written = []
+        if self._feeds:
+            for name in sorted(self.engine.auto_update):
+                self.engine.update(name)
 
     def rollback(self) -> None:
         for folder in self._written:
-            self.engine.files.delete(folder)
+            self.engine.files.fs.delete(self.engine.files.path(self.engine.folder(folder)), True)
         self._written = []

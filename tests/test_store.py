@@ -208,3 +208,48 @@ def test_index_types(spark):
     with pytest.raises(DuplicateKeyError):
         ix.build(df, fn, ix.UNIQUE)
     assert ix.build(df.limit(0), fn).count() == 0
+
+
+def test_materialized_aggregate(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    e.open_table("docs", STORAGE)
+    e.create_index("b", "docs", LENGTH)
+    specs = [("n", "length", A.Count()), ("last", "text", A.Max())]
+    e.put("docs", docs(spark, "hello", "world", "bar"))
+    e.create_aggregate("lazy", "b", ["length"], specs)
+    e.create_aggregate("eager", "b", ["length"], specs, auto_update=True)
+    keys = []
+    e.observe_keys("b", lambda df: keys.extend(tuple(r) for r in df.collect()))
+    rows = lambda name: {tuple(r) for r in e.read(name).collect()}
+    bar = (e.view("b") == 3).rows().first().doc_id
+    e.put("docs", docs(spark, ("zebra", bar), "a"))
+    assert sorted(keys) == [(1, "put"), (3, "delete"), (5, "put")]
+    assert rows("lazy") == {(5, 2, "world"), (3, 1, "bar")} and rows("eager") == {(5, 3, "zebra"), (1, 1, "a")}
+    assert e.update("lazy") and not e.try_update("lazy") and rows("lazy") == rows("eager")
+    again = Engine(spark, str(tmp_path / "e"))
+    again.create_index("b", "docs", LENGTH)
+    again.create_aggregate("lazy", "b", ["length"], specs[:1])
+    assert {tuple(r) for r in again.read("lazy").collect()} == {(5, 3), (1, 1)}
+
+
+def test_overlay(spark, tmp_path):
+    root = str(tmp_path / "e")
+    e = Engine(spark, root)
+    e.open_table("docs", STORAGE)
+    e.put("docs", docs(spark, "one"))
+    with Engine(spark, root, overlay=True) as o:
+        o.put("docs", docs(spark, "two"))
+        assert o.read("docs").count() == 2 and Engine(spark, root).read("docs").count() == 1
+    assert Engine(spark, root).version == e.version
+
+
+def test_python_functions(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "c")], "id long, document string")
+    fn = ix.PythonIndexFunction(["c"], [], lambda b: b.assign(c=b["document"].map(list)).explode("c").rename(columns={"id": "doc_id"})[["c", "doc_id"]], "c string, doc_id long")
+    assert {tuple(r) for r in ix.build(df, fn).collect()} == {("a", 1), ("b", 1), ("c", 2)}
+    out = aggregate_by(df.withColumn("doc_id", F.col("id")), [], [("m", "id", A.Pandas(lambda x: float(x.median()), "double"))]).first()
+    assert out.m == 1.5
+    feed = ix.NoStorage({"t": TEXT})
+    rows = feed.put(df)
+    assert rows["t"].count() == 2 and feed.next_id == 3 and feed.get(1) is None
+    assert feed.erase(rows, ids(spark, 1))["t"].first().text == "c"
