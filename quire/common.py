@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A hot-key list never has more entries than this, so broadcasting it is safe at any size of input.
 HOT_KEYS = 512
 #: Keys with fewer rows than this are left to the ordinary shuffle.
 HOT_ROWS = 50_000
+#: Bytes of an Arrow batch that are worked on at once.
+SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,11 +63,16 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="quire-package-")) / "quire.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(path))
+    where = f"{scratch(spark, 'package')}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, False)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(where)
     _SHIPPED.add(sc.applicationId)
 
 
@@ -77,11 +87,13 @@ def spread(df: DataFrame, *, per_core: int = 2) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(per_core * cores)
 
 
-def same(a: list[Column]) -> Column:
-    out = F.lit(True)
-    for x in a:
-        out = out & x
-    return out
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Non-empty batches in slices of about `most` bytes on average, so that memory does not follow the length of texts."""
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+            for i in range(0, batch.num_rows, step):
+                yield batch.slice(i, step)
 
 
 def skew_lookup(rows: DataFrame, key: str, table: DataFrame, *, counts: DataFrame, how: str = "left") -> DataFrame:

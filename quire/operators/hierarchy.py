@@ -177,3 +177,50 @@ def path_pieces(df: DataFrame, *, id_col: str = "id", parent_col: str = "previou
     hung = skew_lookup(heads, "parent", table, counts=heads.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))).select(F.col("id").alias("piece_id"), "from_piece", "from_position")
     sizes = placed.groupBy("piece_id").agg(F.count(F.lit(1)).alias("n"))
     return whole.join(skew_lookup(placed, "piece_id", hung, counts=sizes), "id", "left").select("id", "piece_id", "position", "from_piece", "from_position", "root_id", "depth")
+
+
+#: Positions of a piece are worked off in blocks of this length, so that a long piece is no single join key.
+SPAN = 1024
+
+
+def _along(front: DataFrame, table: DataFrame, piece: str, place: str) -> DataFrame:
+    """Rows of `table` on the piece of each row of `front` (id, piece, low, high) at places from `low` to `high`."""
+    f = front.select("*", F.explode(F.sequence(F.floor(F.col("low") / SPAN), F.floor(F.col("high") / SPAN))).alias("span"))
+    t = table.withColumn("span", F.floor(F.col(place) / SPAN)).withColumnRenamed(piece, "piece")
+    return f.join(t, ["piece", "span"]).where((F.col(place) >= F.col("low")) & (F.col(place) <= F.col("high")))
+
+
+def _look(front: DataFrame, table: DataFrame) -> DataFrame:
+    return skew_lookup(front, "piece", table, counts=front.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), how="inner")
+
+
+def ancestors(pieces: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(`id`, `ancestor_id`, `distance`) for each id of `nodes` (id) and each node on its path, itself at distance 0.
+
+    `pieces` comes from `path_pieces` and should be stored. One round per change of piece on the longest path; the result is as
+    large as the paths are long, so `nodes` should be a part of the forest. Nodes of endless histories have no path."""
+    member = pieces.where("piece_id is not null").select(F.col("piece_id").alias("of_piece"), "position", F.col("id").alias("ancestor_id"), F.col("depth").alias("at"))
+    heads = pieces.where("position = 0 and from_piece is not null").select(F.col("piece_id").alias("piece"), "from_piece", "from_position")
+    front = cut(nodes.select("id").distinct().join(pieces.where("piece_id is not null"), "id").select("id", F.col("depth").alias("own"), F.col("piece_id").alias("piece"), F.lit(0).cast("long").alias("low"), F.col("position").alias("high")))
+    out = None
+    while out is None or not front.isEmpty():
+        part = _along(front, member, "of_piece", "position").select("id", "ancestor_id", (F.col("own") - F.col("at")).alias("distance"))
+        out = part if out is None else out.unionByName(part)
+        front = cut(_look(front, heads).select("id", "own", F.col("from_piece").alias("piece"), "low", F.col("from_position").alias("high")))
+    return out
+
+
+def descendants(pieces: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(`id`, `descendant_id`, `distance`) for each id of `nodes` (id) and each node after it; see `ancestors`."""
+    member = pieces.where("piece_id is not null").select(F.col("piece_id").alias("of_piece"), "position", F.col("id").alias("descendant_id"), F.col("depth").alias("at"))
+    length = pieces.where("piece_id is not null").groupBy(F.col("piece_id").alias("piece")).agg(F.max("position").alias("last"))
+    hung = pieces.where("position = 0 and from_piece is not null").select(F.col("piece_id").alias("next"), "from_piece", "from_position")
+    start = nodes.select("id").distinct().join(pieces.where("piece_id is not null"), "id").select("id", F.col("depth").alias("own"), F.col("piece_id").alias("piece"), F.col("position").alias("low"))
+    front = cut(_look(start, length).select("id", "own", "piece", "low", F.col("last").alias("high")))
+    out = None
+    while out is None or not front.isEmpty():
+        part = _along(front, member, "of_piece", "position").where("at > own").select("id", "descendant_id", (F.col("at") - F.col("own")).alias("distance"))
+        out = part if out is None else out.unionByName(part)
+        below = _along(front, hung, "from_piece", "from_position").select("id", "own", F.col("next").alias("piece"))
+        front = cut(_look(below, length).select("id", "own", "piece", F.lit(0).cast("long").alias("low"), F.col("last").alias("high")))
+    return out

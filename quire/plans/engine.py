@@ -25,7 +25,7 @@ from quire.operators.aggregate_by import aggregate_by, refresh
 from quire.operators.aggregates import Spec, revision
 from quire.operators.view import View
 
-#: Purposes of collections.
+# Purposes of collections.
 STORAGE, INDEX, UNIQUE_INDEX, MAP, AGGREGATE, UNDEFINED = "S", "I", "U", "M", "A", "?"
 MAX_COLLECTIONS = 255
 BIG_BATCH = 131_072

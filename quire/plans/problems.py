@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.common import stored
 from quire.operators import changes, hierarchy
 from quire.sources import delimited
 
@@ -23,6 +24,21 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.path_pieces(table(spark, sf_dir, "exported_docs"))
 
 
+def _asked(pieces: DataFrame) -> DataFrame:
+    """The query set: ids divisible by 20, against all rows."""
+    return pieces.where("id % 20 = 0").select("id")
+
+
+def p2_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stored(p2_paths(spark, sf_dir), "pieces")
+    return hierarchy.ancestors(pieces, _asked(pieces))
+
+
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stored(p2_paths(spark, sf_dir), "pieces")
+    return hierarchy.descendants(pieces, _asked(pieces))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = changes.apply_changes(table(spark, sf_dir, "doc_records"), table(spark, sf_dir, "index_updates"))
     return changes.current(state).select(F.col("doc_id").alias("new_doc_id"), F.col("seq").alias("commit_seq"))
@@ -64,6 +80,11 @@ def _sql_p5(tail: str) -> str:
         {tail}"""
 
 
+_SQL_P2 = """
+    WITH RECURSIVE e AS (SELECT id, max(CASE WHEN previous_id > 0 THEN previous_id ELSE -1 END) AS p FROM exported_docs WHERE id IS NOT NULL GROUP BY id),
+    fine(id) AS (SELECT id FROM e WHERE p NOT IN (SELECT id FROM e) UNION ALL SELECT e.id FROM e JOIN fine ON e.p = fine.id),
+    up(id, anc, distance) AS (SELECT id, id, 0::BIGINT FROM fine UNION ALL SELECT up.id, e.p, up.distance + 1 FROM up JOIN e ON e.id = up.anc WHERE e.p IN (SELECT id FROM e))"""
+
 _SQL_P4 = """
     WITH a AS (
         SELECT id AS d, commit_seq AS s, coalesce(previous_id, 0) AS p, deleted AS x, FALSE AS gone, coll_name AS n, document AS t FROM doc_records
@@ -74,7 +95,7 @@ _SQL_P4 = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_valid": p5_valid}
+    return {"p2_found": p2_found, "p2_paths": p2_paths, "p2_ancestors": p2_ancestors, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_valid": p5_valid}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -90,6 +111,8 @@ def oracle_sql() -> dict[str, str]:
             loops AS (SELECT id FROM up WHERE id = anc)
             SELECT id, root_id, depth FROM down
             UNION ALL SELECT up.id, min(up.anc), -1 FROM up WHERE up.anc IN (SELECT id FROM loops) GROUP BY up.id""",
+        "p2_ancestors": f"{_SQL_P2} SELECT id, anc AS ancestor_id, distance FROM up WHERE id % 20 = 0",
+        "p2_descendants": f"{_SQL_P2} SELECT anc AS id, id AS descendant_id, distance FROM up WHERE anc % 20 = 0 AND distance > 0",
         "p4_found": f"{_SQL_P4} SELECT d AS new_doc_id, s AS commit_seq FROM now",
         "p4_documents": f"{_SQL_P4} SELECT d AS doc_id, s AS seq, n AS coll_name, t AS document FROM now",
         "p5_found": _sql_p5("SELECT line_no, reason FROM r WHERE reason IS NOT NULL"),

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.common import spread
+from quire.common import slices, spread
 
 FIELDS = ["id", "fname", "lname", "company", "city", "country", "phone1", "phone2", "email", "subsdate", "website"]
 
@@ -30,8 +30,6 @@ CHECKS = {
     "subsdate": (True, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"),
     "website": (True, rf"\Ahttps?://{_HOST}(?::[0-9]{{1,5}})?(?:[/?#]{_NOT_SPACE}*)?\z"),
 }
-#: Rows of an Arrow batch are cut into slices of about so many bytes, so memory does not follow the batch size.
-SLICE_BYTES = 8 << 20
 
 
 def real_dates(text: pa.Array) -> np.ndarray:
@@ -134,14 +132,9 @@ def parse_records(df: DataFrame, *, key: str = "line_no", line: str = "raw_line"
     rows = spread(df.select(F.col(key).alias("_key"), F.col(line).cast("string").alias("_line"), F.col(sep).cast("string").alias("_sep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(1).nbytes)))
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                reason, columns = check_batch(part.column(1), part.column(2), fields, checks)
-                yield pa.RecordBatch.from_arrays([part.column(0), reason, *columns], ["_key", "reason", *[f"f{i}" for i in range(len(fields))]])
+        for part in slices(batches):
+            reason, columns = check_batch(part.column(1), part.column(2), fields, checks)
+            yield pa.RecordBatch.from_arrays([part.column(0), reason, *columns], ["_key", "reason", *[f"f{i}" for i in range(len(fields))]])
 
     out = rows.mapInArrow(run, f"_key {kind}, reason string, " + ", ".join(f"f{i} string" for i in range(len(fields))))
     return out.select(F.col("_key").alias(key), "reason", *[F.col(f"f{i}").alias(f"{name}_text" if name in (key, "reason") else name) for i, name in enumerate(fields)])

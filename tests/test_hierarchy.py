@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from quire.operators.hierarchy import hierarchy, path_pieces
+from quire.common import stored
+from quire.operators import hierarchy as h
+from quire.operators.hierarchy import ancestors, descendants, hierarchy, path_pieces
 
 
 def brute(parent):
@@ -67,3 +69,23 @@ def test_paths(spark):
             head = rows[member[piece, 0]]
             piece, place = head.from_piece, head.from_position
         assert len(path) == depth + 1 and path[-1] == v and all(parent[b] == a for a, b in zip(path, path[1:]))
+
+
+@pytest.mark.parametrize("span", [3, 1024])
+def test_ancestors_and_descendants(spark, monkeypatch, span):
+    monkeypatch.setattr(h, "SPAN", span)
+    parent = forest(150, False, 3)
+    df = spark.createDataFrame(list(parent.items()), "id long, previous_id long")
+    pieces = stored(path_pieces(df, bits=5, base=10), "pieces")
+    asked = pieces.where("id % 3 = 0").select("id")
+    depth = {v: d for v, (_, d) in brute(parent).items()}
+    up = set()
+    for v, d in depth.items():
+        x = v
+        for k in range(d + 1):
+            up.add((v, x, k))
+            x = parent.get(x)
+    assert {tuple(r) for r in ancestors(pieces, asked).collect()} == {t for t in up if t[0] % 3 == 0}
+    got = [tuple(r) for r in descendants(pieces, asked).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, v, k) for v, a, k in up if a % 3 == 0 and k}
+    assert ancestors(pieces, asked.limit(0)).count() == descendants(pieces, asked.limit(0)).count() == 0
