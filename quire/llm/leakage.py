@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.common import spread
+from quire.common import slices, spread
 from quire.llm.words import MARK, words
 
 MIN_WORDS = 12
@@ -140,8 +140,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
         held = spark.sparkContext.broadcast(Items([tuple(r) for r in block.collect()], min_words))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = scan_batch(batch.column(1).to_pylist(), held.value) if batch.num_rows else []
+            for batch in slices(batches):
+                got = scan_batch(batch.column(1).to_pylist(), held.value)
                 if got:
                     d, i, n, w, longest = (np.array(x) for x in zip(*got, strict=True))
                     size = np.array([len(t) for t in held.value.texts])[i]

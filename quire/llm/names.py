@@ -17,10 +17,10 @@ from functools import lru_cache
 from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.common import cut, parallelism, skew_lookup, spread
+from quire.common import cut, parallelism, skew_lookup, slices, spread
 from quire.llm.duplicates import FIELDS, canonical
 from quire.operators.hierarchy import hierarchy
 
@@ -463,8 +463,8 @@ def _links(rows: list[tuple[int, str, str, float]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(f, pa.string()), pa.array(p, pa.string()), pa.array(s, pa.float64())], ["org", "form", "parent", "score"])
 
 
-def _number(*columns) -> F.Column:
-    """63-bit number of a spelling."""
+def _number(*columns) -> Column:
+    """63-bit number of a spelling. Of 10^6 spellings, some two share one with a probability of about 10^-7."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)
 
 
@@ -480,7 +480,7 @@ def parsed(df: DataFrame, key: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fn, ln, co, em, ph = (c.to_pylist() for c in batch.columns[1:])
             people = [person_words(a, b, [e, p]) for a, b, e, p in zip(fn, ln, em, ph, strict=True)]
             named = [any(c.isalnum() for c in (a or "") + (b or "")) for a, b in zip(fn, ln, strict=True)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.common import cut, spread
+from quire.common import cut, slices, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern published with the default vocabulary.
@@ -70,7 +70,7 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count([t or "" for t in batch.column(1).to_pylist()]), pa.int64())], ["doc_id", "tokens"])
 
     return spread(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, f"doc_id {kind}, tokens long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.common import cut, parallelism, skew_lookup, spread
+from quire.common import cut, parallelism, skew_lookup, slices, spread
 from quire.llm.words import BBCODE_BLOCK, BBCODE_INLINE, HTML_BLOCK, HTML_INLINE
 
 #: Depth of the prefix tree below the root: number of tokens, then so many leading tokens.
@@ -213,7 +213,7 @@ def units(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, n, message, gap = [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 got = messages(t) if t else []
