@@ -35,6 +35,7 @@ _names = lambda *x: "|".join(sorted({n for y in x for n in y.split()} - {"link",
 _INLINE = re.compile(rf"</?(?:{_names(HTML_INLINE)})(?:[\s/][^<>]*)?>|\[/?(?:{_names(BBCODE_INLINE)})(?:[=\s][^\[\]]*)?\]|\[email=[^\[\]]*\]|\[/(?:email|user)\]", re.I)
 _BLOCK = re.compile(rf"<!--.*?-->|</?(?:{_names(HTML_BLOCK)}|code|img|section|header|footer)(?:[\s/][^<>]*)?>|</(?:link|title|time|address)>|<(?:link|time|object|source)\s[^<>]*>|\[/?(?:{_names(BBCODE_BLOCK)})(?:[=\s][^\[\]]*)?\]|\[/?(?:code|img)(?:[=\s][^\[\]]*)?\]", re.I | re.S)
 _QUOTE = re.compile(r"<blockquote\b[^<>]*>(?:(?!</?blockquote\b).)*</blockquote\s*>|\[quote\b[^\[\]]*\](?:(?!\[/?quote\b).)*\[/quote\]", re.I | re.S)
+_QUOTE_MARK = re.compile(r"</?blockquote[^<>]*>|\[/?quote[^\[\]]*\]", re.I)
 _QUOTE_LINE = re.compile(r"^[ \t\xa0]*(?:[>|»][^\n]*|[^\n]{1,60}\b(?:wrote|said|schrieb|escribió|dijo)(?: on [^\n]*)?:)[ \t\xa0]*$", re.M)
 _SIGNATURE = re.compile(r"(?:^|\n)[ \t\xa0]*(?:--+|_{3,}|~[ \t\xa0]+\S[^\n]{0,80})[ \t\xa0]*(?:\n[^\n]{0,80}){0,3}\s*\Z")
 _PICTURE = re.compile(r"\[url=[^\[\]]*\]\w{1,12}\[/url\]", re.I)
@@ -49,6 +50,9 @@ _SLOTS = re.compile(
 )
 # What programs print for a missing value.
 _NILS = re.compile(r"(?<![\w'-])(?:undefined|null|None|NaN|nil|NULL|N/A|n/a|\(null\)|\[object Object\]|\(none\)|#N/A|#REF!|#VALUE!)(?![\w'-])|(?<!\S)\?{2,}")
+_NIL_PARTS = ("undefined", "null", "None", "NaN", "nil", "NULL", "N/A", "n/a", "[object Object]", "(none)", "#REF!", "#VALUE!", "??")
+#: What every variable part has: a digit, a slash, or a stop within a word.
+_MAY_VARY = re.compile(r"[\d/]|\w\.\w")
 _VARS = re.compile(r"https?://\S+|(?<!\w)/[\w.-]+(?:/[\w.-]+)+(?:[:(]\d+\)?:?)?|(?<!\w)(?=[\w.-]*\d)[\w-]+(?:\.[\w-]+)*|\b[\w-]+(?:\.[\w-]+)+\.(?:example|invalid|test|com|org|net)\b")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\s*\n\s*")
 _GAP = re.compile(r"[ \t\xa0]{2,}|\s[,.!?:;](?=\s|$)|:\s*$|:\s*\.|^\s+\S")
@@ -57,34 +61,43 @@ _TOKEN = re.compile(rf"{SLOT}|{NIL}|{re.escape(VAR)}|[^\W_]+(?:['’][^\W_]+)?|#
 
 def own_text(text: str) -> str:
     """The post's own text: no markup, quotation, navigation or signature."""
-    for _ in range(text.lower().count("<blockquote") + text.lower().count("[quote")):
-        less = _QUOTE.sub("\n", text)
-        if less == text:
-            break
-        text = less
-    text = _BLOCK.sub("\n", _INLINE.sub("", _PICTURE.sub(" ", text)))
-    text = re.sub(r"</?blockquote[^<>]*>|\[/?quote[^\[\]]*\]", "\n", text, flags=re.I)
+    if "<" in text or "[" in text:
+        lower = text.lower()
+        for _ in range(lower.count("<blockquote") + lower.count("[quote")):
+            less = _QUOTE.sub("\n", text)
+            if less == text:
+                break
+            text = less
+        text = _BLOCK.sub("\n", _INLINE.sub("", _PICTURE.sub(" ", text)))
+        text = _QUOTE_MARK.sub("\n", text)
     if "&" in text:
         text = html.unescape(text)
     text = text.replace("\xa0", " ").strip("\n")
-    text = _SIGNATURE.sub("\n", text)
-    text = _QUOTE_LINE.sub("", text)
-    return _NAVIGATION.sub("", _EDIT.sub("", text))
+    if "--" in text or "___" in text or "~" in text:
+        text = _SIGNATURE.sub("\n", text)
+    text = _EDIT.sub("", _QUOTE_LINE.sub("", text))
+    return _NAVIGATION.sub("", text) if any(c in text for c in "|»›/·") else text
 
 
 def messages(text: str) -> list[tuple[str, bool]]:
     """Messages of a post, masked, and whether a gap in it may be an empty slot."""
     own = own_text(text)
     # doubled white space throughout is a way of writing; a gap here and there is a slot without a value
-    doubled = len(re.findall(r"\S +(?=\S)", own)) <= 2 * len(re.findall(r"\S  +(?=\S)", own)) > 4
+    doubled = "  " in own and len(re.findall(r"\S +(?=\S)", own)) <= 2 * len(re.findall(r"\S  +(?=\S)", own)) > 4
+    own = _SLOTS.sub(f" {SLOT} ", own)
+    if any(n in own for n in _NIL_PARTS):
+        own = _NILS.sub(f" {NIL} ", own)
     out = []
-    for part in _SPLIT.split(_NILS.sub(f" {NIL} ", _SLOTS.sub(f" {SLOT} ", own))):
+    for part in _SPLIT.split(own):
         if not part:
             continue
-        tokens = _TOKEN.findall(_VARS.sub(f" {VAR} ", part).lower() if not part.startswith("#") else part.lower())
+        masked = _VARS.sub(f" {VAR} ", part) if _MAY_VARY.search(part) and not part.startswith("#") else part
+        tokens = _TOKEN.findall(masked.lower())
         if tokens:
-            clean = part.replace(f" {SLOT} ", "x").replace(f" {NIL} ", "x")
-            out.append((" ".join(tokens), not doubled and bool(_GAP.search(clean))))
+            gap = False
+            if not doubled:
+                gap = bool(_GAP.search(part.replace(f" {SLOT} ", "x").replace(f" {NIL} ", "x")))
+            out.append((" ".join(tokens), gap))
     return out
 
 
@@ -194,13 +207,13 @@ def classify(template: str) -> str | None:
         return "filler"
     if all(t in MASH or (len(set(t)) == 1 and len(t) > 2) for t in tokens) and words:
         return "filler"
-    if _FILLER.search(template):
+    if _FILLER.match(template):
         return "filler"
     if own:
         return None
-    if _ERROR.search(template):
+    if _ERROR.match(template):
         return "error"
-    if (_SCRIPT_WORD.search(template) and _SCRIPT.search(template)) or _SCRIPT_MORE.search(template):
+    if (_SCRIPT_WORD.search(template) and _SCRIPT.search(template)) or _SCRIPT_MORE.match(template):
         return "script"
     return None
 
