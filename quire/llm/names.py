@@ -353,7 +353,6 @@ def org_keys(words: list[str], common: frozenset[str]) -> set[str]:
             keys |= {"-" + k for k in _less(w)}
     for w in own:
         if len(w) >= 4:
-            keys |= {f"{w}|{x[0]}" for x in words if x != w}
             keys |= {f"~{sound(w)}|{x[0]}" for x in words if x != w}
     # words run together: the whole, and its two ends
     whole = [own[0] + own[1], own[1] + own[0]] if len(own) >= 2 else []
