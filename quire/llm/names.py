@@ -166,12 +166,16 @@ def person_words(fname: str | None, lname: str | None, others: list[str | None]
     return full or words
 
 
+letters = lru_cache(maxsize=200_000)(frozenset)
+
+
 @lru_cache(maxsize=200_000)
 def edits(a: str, b: str, most: int) -> int:
     """Typing errors between `a` and `b` (insertion, deletion, replacement, swap of neighbours), or most + 1."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    # each letter that only one of them has takes an edit; that settles most comparisons
+    if abs(len(a) - len(b)) > most or len(letters(a) - letters(b)) > most or len(letters(b) - letters(a)) > most:
         return most + 1
     while a and b and a[0] == b[0]:
         a, b = a[1:], b[1:]
