@@ -16,7 +16,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -439,7 +441,7 @@ def _attach(forms: DataFrame, kind: str, words: frozenset[str]) -> DataFrame:
         known = held.value
         out: list[tuple[int, str, str, float]] = []
         now, rows = None, []
-        for batch in batches:
+        for batch in map(_shared, batches):
             for o, k, f, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (o, k) != now:
                     if len(rows) > 1:
@@ -461,6 +463,16 @@ def _attach(forms: DataFrame, kind: str, words: frozenset[str]) -> DataFrame:
     return links.groupBy("org", "form").agg(F.max_by("parent", F.struct("score", "parent")).alias("parent"))
 
 
+def _shared(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Sorted rows without those alone in their block, but for the blocks at either end, which may go on in other batches."""
+    if batch.num_rows < 3:
+        return batch
+    org, key = batch.column(0).to_numpy(), batch.column(1)
+    new = (org[1:] != org[:-1]) | ~pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+    alone = np.concatenate([[False], new[:-1] & new[1:], [False]])
+    return batch.filter(pa.array(~alone))
+
+
 def _links(rows: list[tuple[int, str, str, float]]) -> pa.RecordBatch:
     o, f, p, s = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(f, pa.string()), pa.array(p, pa.string()), pa.array(s, pa.float64())], ["org", "form", "parent", "score"])
