@@ -18,7 +18,6 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -457,8 +456,9 @@ def _attach(forms: DataFrame, kind: str, words: frozenset[str]) -> DataFrame:
             yield _links(out)
 
     keyed = forms.select("org", "form", "n").mapInArrow(emit, "org long, key string, form string, n long")
-    # blocks of one spelling say nothing; they are most
-    blocks = keyed.repartition(parallelism(forms.sparkSession), "org", "key").sortWithinPartitions("org", "key")
+    # sorted by number, which is short; rows of two keys that share one part where the organisation changes
+    numbered = keyed.select("org", F.xxhash64("org", "key").alias("key"), "form", "n")
+    blocks = numbered.repartition(parallelism(forms.sparkSession), "key").sortWithinPartitions("key", "org")
     links = blocks.mapInArrow(block, "org long, form string, parent string, score double")
     return links.groupBy("org", "form").agg(F.max_by("parent", F.struct("score", "parent")).alias("parent"))
 
@@ -467,8 +467,8 @@ def _shared(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Sorted rows without those alone in their block, but for the blocks at either end, which may go on in other batches."""
     if batch.num_rows < 3:
         return batch
-    org, key = batch.column(0).to_numpy(), batch.column(1)
-    new = (org[1:] != org[:-1]) | ~pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+    org, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    new = (org[1:] != org[:-1]) | (key[1:] != key[:-1])
     alone = np.concatenate([[False], new[:-1] & new[1:], [False]])
     return batch.filter(pa.array(~alone))
 
