@@ -2,7 +2,8 @@
 
 Nodes are dealt into buckets. Inside a bucket, chains of parents are followed to the fragment's exit, the last node whose
 parent lies in the same bucket. The exits form a smaller forest with weighted edges, which is solved the same way, and its
-solution is expanded to all nodes of the fragments. A level deals nodes out by blocks of neighbouring ids while that
+solution is expanded to all nodes of the fragments. An edge also has the smallest id on the way it stands for, without the
+node it starts from, so that a cycle of exits gets the smallest id of all nodes on it. A level deals nodes out by blocks of neighbouring ids while that
 keeps enough parents local, else by coin tosses: a tail joins the bucket of its parent if that is a head, so at least about
 a quarter of the inner nodes is contracted whatever the ids are. What fits in BASE nodes is solved by one task.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.common import cut, parallelism, skew_lookup
 
-#: Nodes of a quotient forest that one task solves: three arrays of 8 bytes each.
+#: Nodes of a quotient forest that one task solves: four arrays of 8 bytes each.
 BASE = 50_000
 #: Ids per block at the first level, as a power of two; blocks of a quotient are wider.
 BLOCK_BITS = 15
@@ -29,9 +30,14 @@ LOCAL = 0.35
 BUCKET = 100_000
 
 
-def follow(ids: np.ndarray, parents: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each node the last node of its chain of parents within `ids`, the distance to it, and the smallest id of the
-    cycle the chain ends in (-1: none; top and distance mean nothing then). Parents: -1 for none. `ids` are distinct."""
+#: Smallest id of a way without edges.
+NONE = np.iinfo(np.int64).max
+
+
+def follow(ids: np.ndarray, parents: np.ndarray, weights: np.ndarray, leasts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each node the last node of its chain of parents within `ids`, the distance to it, the smallest of `leasts` of the
+    edges to it (NONE: no edge), and the smallest one of the cycle the chain ends in (-1: none; top, distance and smallest
+    mean nothing then). Parents: -1 for none. `ids` are distinct."""
     n = len(ids)
     order = np.argsort(ids, kind="stable")
     at = np.searchsorted(ids[order], parents)
@@ -41,41 +47,43 @@ def follow(ids: np.ndarray, parents: np.ndarray, weights: np.ndarray) -> tuple[n
     here = np.arange(n)
     up = np.where(local, up, here)
     far = np.where(local, weights, 0)
+    low = np.where(local, leasts, NONE)
     for _ in range(max(1, math.ceil(math.log2(n + 1)))):
         if (up[up] == up).all() and not local[up].any():
             break
         far = far + far[up]
+        low = np.minimum(low, low[up])
         up = up[up]
     cycle = np.full(n, -1, np.int64)
     endless = np.flatnonzero(local[up])  # a chain that has not ended after n steps is on or before a cycle
     if len(endless):
         step = np.where(local, order[at], here)
-        least, jump = ids.astype(np.int64).copy(), step.copy()
+        least, jump = np.where(local, leasts, NONE), step.copy()
         for _ in range(max(1, math.ceil(math.log2(n + 1)))):
             least = np.minimum(least, least[jump])
             jump = jump[jump]
         cycle[endless] = least[up[endless]]  # n steps on, the chain is on the cycle, and all that follows is the cycle
-    return ids[up], far, cycle
+    return ids[up], far, low, cycle
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of whole buckets (bucket, id, parent, weight) -> (id, top, dist, exit_parent, exit_weight, cycle)."""
+    """Nodes of whole buckets (bucket, id, parent, weight, least) -> (id, top, dist, low, exit_parent, exit_weight, exit_least, cycle)."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got)
-    bucket, ids, parents, weights = (t.column(i).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+    bucket, ids, parents, weights, leasts = (t.column(i).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
     # a node follows its parent only inside its bucket, so the result does not depend on which buckets share a task
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts):
-        i, p, w = ids[part], parents[part], weights[part]
-        top, dist, cycle = follow(i, p, w)
+        i, p, w, m = ids[part], parents[part], weights[part], leasts[part]
+        top, dist, low, cycle = follow(i, p, w, m)
         back = np.argsort(i, kind="stable")
         end = back[np.searchsorted(i[back], top)]
-        out_p, out_w = p[end], w[end]
+        out_p, out_w, out_m = p[end], w[end], m[end]
         none = (out_p < 0) | (cycle >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(top), pa.array(dist), pa.array(out_p, mask=none), pa.array(out_w), pa.array(cycle, mask=cycle < 0)], ["id", "top", "dist", "exit_parent", "exit_weight", "cycle"])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(top), pa.array(dist), pa.array(low), pa.array(out_p, mask=none), pa.array(out_w), pa.array(out_m), pa.array(cycle, mask=cycle < 0)], ["id", "top", "dist", "low", "exit_parent", "exit_weight", "exit_least", "cycle"])
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,48 +91,48 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     t = pa.Table.from_batches(got)
-    ids, parents, weights = (t.column(i).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-    top, dist, cycle = follow(ids, parents, weights)
+    ids, parents, weights, leasts = (t.column(i).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+    top, dist, _, cycle = follow(ids, parents, weights, leasts)
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.where(cycle >= 0, cycle, top)), pa.array(np.where(cycle >= 0, -1, dist))], ["id", "root", "depth"])
 
 
 _SOLVED = "id long, root long, depth long"
-_LEVEL = "id long, top long, dist long, exit_parent long, exit_weight long, cycle long"
+_LEVEL = "id long, top long, dist long, low long, exit_parent long, exit_weight long, exit_least long, cycle long"
 
 
 def _solve(nodes: DataFrame, n: int, bits: int, level: int, base: int, bucket: int) -> DataFrame:
-    """(id, root, depth) of a forest (id, parent, weight); parent -1: none, any other may be missing. `nodes` is cut."""
+    """(id, root, depth) of a forest (id, parent, weight, least); parent -1: none, any other may be missing. `nodes` is cut."""
     spark = nodes.sparkSession
     if n <= base and level:
         return nodes.repartition(1).mapInArrow(_base, _SOLVED)
     block = lambda c: F.shiftright(c, bits)
     edges, inside = nodes.where("parent >= 0").agg(F.count(F.lit(1)), F.count(F.when(block(F.col("id")) == block(F.col("parent")), 1))).first()
     if not edges or inside >= LOCAL * edges or (not level and inside >= 0.1 * edges):
-        dealt, leaves = nodes.select(block(F.col("id")).alias("bucket"), "id", "parent", "weight"), None
+        dealt, leaves = nodes.select(block(F.col("id")).alias("bucket"), "id", "parent", "weight", "least"), None
     else:
         # leaves wait until their parents are solved; so a parent of very many nodes does not keep the forest large
         children = nodes.where("parent >= 0").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
         marked = cut(nodes.join(children.select(F.col("parent").alias("id"), F.lit(True).alias("inner_")), "id", "left"))
         leaves = marked.where("inner_ is null").select("id", "parent", "weight")
-        nodes = marked.where("inner_").select("id", "parent", "weight")
+        nodes = marked.where("inner_").select("id", "parent", "weight", "least")
         # the parents of most nodes, a bounded list, draw no nodes to their bucket
         hot = F.broadcast(children.orderBy(F.desc("n"), "parent").limit(512).where(F.col("n") > bucket // 8).select("parent", F.lit(True).alias("hot_")))
         head = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2)) == 0
         anchor = F.when(~head(F.col("id")) & (F.col("parent") >= 0) & head(F.col("parent")) & F.col("hot_").isNull(), F.col("parent")).otherwise(F.col("id"))
         buckets = max(1, -(-n // bucket))
-        dealt = nodes.join(hot, "parent", "left").select(F.pmod(F.xxhash64(anchor), F.lit(buckets)).alias("bucket"), "id", "parent", "weight")
+        dealt = nodes.join(hot, "parent", "left").select(F.pmod(F.xxhash64(anchor), F.lit(buckets)).alias("bucket"), "id", "parent", "weight", "least")
     parts = max(parallelism(spark), -(-n // 500_000))
     contracted = cut(dealt.repartition(parts, "bucket").mapInArrow(_contract, _LEVEL))
 
-    exits = contracted.where("id = top and exit_parent is not null").select("id", "exit_parent", "exit_weight")
+    exits = contracted.where("id = top and exit_parent is not null").select("id", "exit_parent", "exit_weight", "exit_least")
     counts = exits.groupBy("exit_parent").agg(F.count(F.lit(1)).alias("n"))
-    ends = contracted.select(F.col("id").alias("exit_parent"), F.col("top").alias("p_top"), F.col("dist").alias("p_dist"), F.col("cycle").alias("p_cycle"))
+    ends = contracted.select(F.col("id").alias("exit_parent"), F.col("top").alias("p_top"), F.col("dist").alias("p_dist"), F.col("low").alias("p_low"), F.col("cycle").alias("p_cycle"))
     found = skew_lookup(exits, "exit_parent", ends, counts=counts)
     # a parent that is nowhere makes a root; one on the way into a cycle passes the cycle on as a root of weight null
-    quotient = found.select("id", F.when(F.col("p_cycle").isNull(), F.coalesce("p_top", F.lit(-1))).otherwise(-1).alias("parent"), F.when(F.col("p_top").isNull(), 0).otherwise(F.col("exit_weight") + F.col("p_dist")).alias("weight"), F.col("p_cycle").alias("cycle"))
-    quotient = cut(quotient.unionByName(contracted.where("id = top and exit_parent is null and cycle is null").join(found.select(F.col("p_top").alias("id")).distinct(), "id", "left_semi").select("id", F.lit(-1).cast("long").alias("parent"), F.lit(0).cast("long").alias("weight"), F.lit(None).cast("long").alias("cycle"))))
+    quotient = found.select("id", F.when(F.col("p_cycle").isNull(), F.coalesce("p_top", F.lit(-1))).otherwise(-1).alias("parent"), F.when(F.col("p_top").isNull(), 0).otherwise(F.col("exit_weight") + F.col("p_dist")).alias("weight"), F.least("exit_least", "p_low").alias("least"), F.col("p_cycle").alias("cycle"))
+    quotient = cut(quotient.unionByName(contracted.where("id = top and exit_parent is null and cycle is null").join(found.select(F.col("p_top").alias("id")).distinct(), "id", "left_semi").select("id", F.lit(-1).cast("long").alias("parent"), F.lit(0).cast("long").alias("weight"), F.lit(int(NONE)).cast("long").alias("least"), F.lit(None).cast("long").alias("cycle"))))
     m = quotient.count()
-    above = _solve(quotient.select("id", "parent", "weight"), m, min(bits + 4, 60), level + 1, base, bucket)
+    above = _solve(quotient.select("id", "parent", "weight", "least"), m, min(bits + 4, 60), level + 1, base, bucket)
     loops = quotient.where("cycle is not null").select("id", "cycle")
     above = above.join(loops.withColumnRenamed("id", "root"), "root", "left").select(F.col("id").alias("top"), F.coalesce("cycle", "root").alias("root"), F.when(F.col("cycle").isNotNull(), -1).otherwise(F.col("depth")).alias("depth"))
     solved = contracted.select("id", "top", "dist", "cycle").join(above, "top", "left").select(
@@ -153,7 +161,7 @@ def hierarchy(df: DataFrame, *, id_col: str = "id", parent_col: str = "previous_
     a cycle, `root_id` is the smallest id on it and `depth` -1. Null ids are left out; an empty table gives no rows;
     repeated rows count once; other columns are not read. Ids must not be negative.
     """
-    nodes = cut(links(df, id_col, parent_col).withColumn("weight", F.lit(1).cast("long")))
+    nodes = cut(links(df, id_col, parent_col).withColumns({"weight": F.lit(1).cast("long"), "least": F.col("parent")}))
     n = nodes.count()
     return _solve(nodes, n, bits, 0, base, bucket).select(F.col("id").alias("id"), F.col("root").alias("root_id"), "depth")
 

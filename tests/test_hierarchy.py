@@ -41,6 +41,23 @@ def test_random_forests(spark, far, bits, base, bucket):
     assert got == brute(parent)
 
 
+@pytest.mark.parametrize(("bits", "base", "bucket"), [(4, 5, 8), (6, 30, 20), (1, 5, 8), (15, 10, 16)])
+def test_cycles_over_blocks(spark, bits, base, bucket):
+    rnd = random.Random(bits)
+    parent = {100: 200, 200: 40000, 40000: 100}
+    free = rnd.sample(range(1000, 1600), 400) + rnd.sample(range(50_000, 10**6), 200)
+    for size in (2, 3, 7, 40, 120):
+        ring, free = free[:size], free[size:]
+        if size % 2:  # in runs of neighbours, whose smallest ids are no exits
+            ring.sort()
+            ring = ring[size // 3 :] + ring[: size // 3][::-1]
+        parent |= dict(zip(ring, ring[1:] + ring[:1]))
+    for v in free:
+        parent[v] = rnd.choice([*parent, *list(parent)[-3:] * 50])
+    df = spark.createDataFrame(list(parent.items()), "id long, previous_id long")
+    assert {r.id: (r.root_id, r.depth) for r in hierarchy(df, bits=bits, base=base, bucket=bucket).collect()} == brute(parent)
+
+
 def test_star_chain_and_empty(spark):
     parent = {1: 0, **{v: 1 for v in range(2, 500)}, **{v + 1000: v for v in range(2, 300)}}
     df = spark.createDataFrame(list(parent.items()), "id long, previous_id long")
