@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import permutations
 
@@ -111,6 +111,8 @@ for _k, _short in NICKNAMES.items():
 #: A word is taken for a given name, or a common word of organisations, from these shares and numbers on; so each list is bounded.
 GIVEN_SHARE, GIVEN_ROWS = 0.0005, 20
 COMMON_SHARE, COMMON_FORMS = 0.01, 5
+#: From these on a word of organisations is one that others may have been typed for, when organisations are counted.
+KNOWN_SHARE, KNOWN_FORMS = 0.0025, 3
 #: Log likelihood of one typing error, of a sound-alike letter, an abbreviation, a nickname, an initial, a missing given name.
 EDIT, SOUND, SHORT, NICK, INITIAL, MISSING = -4.0, -2.0, -2.0, -1.0, -3.0, -5.0
 #: By how much a candidate must beat the next where the variant leaves the given name open.
@@ -268,6 +270,64 @@ def org_likelihood(a: list[str], b: list[str], common: frozenset[str]) -> float
     return None
 
 
+def mender(frequent: list[str]) -> Callable[[str], str]:
+    """From words, the most frequent first, what any word was written for: one of these, two of them run together, or itself."""
+    known: dict[str, str] = {}
+    near: dict[str, list[str]] = {}
+
+    def seek(w: str) -> str | None:
+        best = None
+        for f in dict.fromkeys([*near.get(w[:1], ()), *near.get("*" + w[-2:], ())]):
+            s = typed(w, f)
+            if s is None and (abbreviates(w, f) or abbreviates(f, w)):
+                s = 4 * EDIT
+            if s is not None and (best is None or s > best[0]):
+                best = (s, f)
+        return None if best is None else best[1]
+
+    for w in frequent:
+        known[w] = seek(w) or w
+        if known[w] == w:
+            near.setdefault(w[:1], []).append(w)
+            near.setdefault("*" + w[-2:], []).append(w)
+
+    @lru_cache(maxsize=200_000)
+    def mend(w: str) -> str:
+        got = known.get(w) or seek(w)
+        if got is None and 8 <= len(w) <= 60:
+            for i in range(3, len(w) - 2):
+                a, b = known.get(w[:i]), known.get(w[i:])
+                if a or b:
+                    a, b = a or seek(w[:i]), b or seek(w[i:])
+                    if a and b:
+                        return f"{a} {b}"
+        return got or w
+
+    return mend
+
+
+def _common(forms: DataFrame) -> frozenset[str]:
+    """Words of many organisations, which say little about which one is meant.
+
+    Spellings of `forms` (`form`) that differ only by errors in frequent words, or by how these are shortened or run together,
+    count as one organisation, so that one with very many rows does not make its own words common."""
+    words = forms.select(F.explode(F.split("form", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    frequent = words.where(F.col("n") >= max(KNOWN_FORMS, KNOWN_SHARE * forms.count())).orderBy(F.desc("n"), "w")
+    held = forms.sparkSession.sparkContext.broadcast([r.w for r in frequent.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mend = mender(held.value)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            meant = [" ".join(sorted({x for w in f.split(" ") for x in mend(w).split(" ")})) for f in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(meant, pa.string())], ["form", "meant"])
+
+    meant = cut(forms.select("form").mapInArrow(run, "form string, meant string"))
+    total = meant.select("meant").distinct().count()
+    spread_ = meant.select(F.explode(F.split("form", " ")).alias("w"), "meant").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(r.w for r in spread_.where(F.col("n") >= max(COMMON_FORMS, COMMON_SHARE * total)).collect())
+
+
 class Person:
     """A spelling of a person's name, split by what is known of given names."""
 
@@ -518,9 +578,7 @@ def entities(df: DataFrame, *, key: str = "row_no") -> DataFrame:
     total = rows.count()
     spark = df.sparkSession
     org_forms = cut(rows.groupBy(F.col("company").alias("form")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("org"), "form", "n"))
-    n_forms = org_forms.count()
-    words = org_forms.select(F.explode(F.split("form", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    common = frozenset(r.w for r in words.where(F.col("n") >= max(COMMON_FORMS, COMMON_SHARE * n_forms)).collect())
+    common = _common(org_forms)
     orgs = _roots(org_forms, _attach(org_forms, "org", common))
     counts = org_forms.select(F.col("form").alias("company"), "n")
     rows = skew_lookup(rows, "company", orgs.select(F.col("form").alias("company"), F.col("root").alias("org")), counts=counts, how="inner")

@@ -33,6 +33,18 @@ def test_variants(spark):
     assert got == want
 
 
+def test_words_of_one_frequent_organisation_are_its_own(spark):
+    own = ["Rimwal Dranlarstan", "Dranlarstan Rimwal", "Rimwal Dranlarztan", "Rimwla Dranlarstan", "Rimwal Dranlarstna", "Rimwall Dranlarstan", "Rimwal Dranlastan", "Rinwal Dranlarstan", "Rimwal Drnlarstan", "Rimwal Dranlarstaan"]
+    rows = [(1, "Ann", "Torbelan", f"{o} {b}") for o in own for b in ("Packaging", "Pkg", "Packagign")] * 2
+    others = ["Palfin Barbexdul", "Erzan Selmelgor", "Vexlor Tamrinda", "Bexdor Bristangal", "Quonset Hulmark", "Sildur Wexomar", "Jastep Morfinel"]
+    rows += [(2 + i, "Ann", "Torbelan", f"{o} {b}") for i, o in enumerate(others) for b in ("Packaging", "Pkg")]
+    df = table(spark, rows)
+    groups = defaultdict(set)
+    for r in entities(df).collect():
+        groups[r.org_id].add(r.row_id)
+    assert sorted(map(sorted, groups.values())) == sorted([i for i, r in enumerate(rows) if r[0] == k] for k in range(1, 9))
+
+
 def test_large_entities_in_blocks(spark):
     rows = [(1, None, None, "Vexlor Tamrinda Optics Inc")] * 40 + [(2, "Ann", "Torbelan", "Vexlor Tamrinda Optics")] * 30
     df = table(spark, rows)
