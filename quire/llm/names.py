@@ -331,14 +331,15 @@ def _common(forms: DataFrame) -> frozenset[str]:
 class Person:
     """A spelling of a person's name, split by what is known of given names."""
 
-    __slots__ = ("given", "initials", "family", "words")
+    __slots__ = ("given", "initials", "family", "unsure", "words")
 
     def __init__(self, words: list[str], given: frozenset[str]):
         full = [w for w in words if len(w) > 1 and w not in PARTICLES]
         self.initials = [w for w in words if len(w) == 1]
         self.given = [w for w in full if w in given or w in _FORMAL]
         self.family = [w for w in full if w not in self.given]
-        if len(self.given) > 1 and not self.family:  # a family name that is also a given name
+        self.unsure = not self.family and (len(self.given) > 1 or bool(self.given and self.initials))
+        if self.unsure:  # a family name that is also a given name: the last word, or any other where names are compared
             self.family = [self.given.pop()]
         self.words = full
 
@@ -389,7 +390,7 @@ def person_likelihood(a: Person, b: Person) -> tuple[float, bool] | None:
     """Log likelihood that `a` was written for `b`, both at one organisation, and whether that leaves open who is meant."""
     best = None
     # a given name with an error looks like a family name: try each word as the family name, the others as given names
-    splits = lambda p: [(p.family, p.given)] + ([([w], p.given + [x for x in p.family if x is not w]) for w in p.family] if len(p.family) > 1 else [])
+    splits = lambda p: [(p.family, p.given)] + ([([w], p.given + [x for x in p.family if x is not w]) for w in p.family] if len(p.family) > 1 else []) + ([([w], [x for x in p.words if x is not w]) for w in p.given] if p.unsure else [])
     for fa, ga in splits(a):
         for fb, gb in splits(b):
             if not fa or not fb:
@@ -428,11 +429,11 @@ def org_keys(words: list[str], common: frozenset[str]) -> set[str]:
 
 def person_keys(p: Person) -> set[str]:
     keys = set()
-    for w in {*p.family, "".join(p.family)}:
+    for w in {*p.family, "".join(p.family), *(p.given if p.unsure else ())}:
         if len(w) >= 4:
             keys |= {"-" + k for k in _less(w)}
             keys.add("~" + sound(w))
-            for g in p.given[:1]:
+            for g in [x for x in p.words if x != w][:1] if p.unsure else p.given[:1]:
                 for f in _FORMAL.get(g, frozenset([g])):
                     keys |= {f"{f}|{w[:2]}", f"{f}|*{w[-2:]}"}
         else:
@@ -551,21 +552,37 @@ def _roots(forms: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def parsed(df: DataFrame, key: str) -> DataFrame:
-    """(`row_id`, `person`, `company`, `named`): words of person and organisation as one string each; whether a person is named."""
+    """(`row_id`, `person`, `company`, `named`, `first`): words of person and organisation as one string each; whether a person is
+    named; how many of the person's words stand in the field of given names, null where not both fields hold some."""
     kind = df.schema[key].dataType.simpleString()
+    field = lambda v: person_words(v, None) if _is_name(v) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fn, ln, co, em, ph = (c.to_pylist() for c in batch.columns[1:])
             people = [person_words(a, b, [e, p]) for a, b, e, p in zip(fn, ln, em, ph, strict=True)]
             named = [any(c.isalnum() for c in (a or "") + (b or "")) for a, b in zip(fn, ln, strict=True)]
+            first = [n if 0 < (n := len(field(a))) < len(w) and field(a) + field(b) == w else None for a, b, w in zip(fn, ln, people, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([" ".join(w) for w in people], pa.string()), pa.array([" ".join(org_words(c)) for c in co], pa.string()), pa.array(named, pa.bool_())],
-                ["row_id", "person", "company", "named"],
+                [batch.column(0), pa.array([" ".join(w) for w in people], pa.string()), pa.array([" ".join(org_words(c)) for c in co], pa.string()), pa.array(named, pa.bool_()), pa.array(first, pa.int32())],
+                ["row_id", "person", "company", "named", "first"],
             )
 
     cols = [F.col(c).cast("string").alias(c) for c in ("fname", "lname", "company", "email", "phone1")]
-    return spread(df.select(F.col(key).alias("row_id"), *cols)).mapInArrow(run, f"row_id {kind}, person string, company string, named boolean")
+    return spread(df.select(F.col(key).alias("row_id"), *cols)).mapInArrow(run, f"row_id {kind}, person string, company string, named boolean, first int")
+
+
+def _mined(rows: DataFrame) -> frozenset[str]:
+    """Given names: words of many spellings of people (`org`, `person`, `first`), copies counted once, that stand more often in
+    the field of given names than in that of family names, or never where the fields tell; so the family name of a frequent person or family is none."""
+    forms = cut(rows.where("person <> ''").select("org", "person", "first").distinct())
+    total = forms.select("org", "person").distinct().count()
+    words = forms.select("org", "person", "first", F.posexplode(F.split("person", " ")).alias("at", "w")).where(F.length("w") > 1)
+    seen = words.groupBy("w", "org", "person").agg(F.max((F.col("at") < F.col("first")).cast("int")).alias("front"), F.max((F.col("at") >= F.col("first")).cast("int")).alias("back"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("front", "back")]
+    counts = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *sums)
+    many = counts.where((F.col("n") >= max(GIVEN_ROWS, GIVEN_SHARE * total)) & F.expr("front > back or front + back = 0"))
+    return frozenset(r.w for r in many.collect())
 
 
 def entities(df: DataFrame, *, key: str = "row_no") -> DataFrame:
@@ -575,7 +592,6 @@ def entities(df: DataFrame, *, key: str = "row_no") -> DataFrame:
     and blank fields count as missing, empty tables give no rows, repeated rows get the same ids.
     """
     rows = cut(parsed(df, key).where("company <> '' and (person <> '' or not named)"))
-    total = rows.count()
     spark = df.sparkSession
     org_forms = cut(rows.groupBy(F.col("company").alias("form")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("org"), "form", "n"))
     common = _common(org_forms)
@@ -583,8 +599,7 @@ def entities(df: DataFrame, *, key: str = "row_no") -> DataFrame:
     counts = org_forms.select(F.col("form").alias("company"), "n")
     rows = skew_lookup(rows, "company", orgs.select(F.col("form").alias("company"), F.col("root").alias("org")), counts=counts, how="inner")
     rows = cut(rows)
-    names = rows.where("person <> ''").select(F.explode(F.split("person", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    given = frozenset(r.w for r in names.where((F.col("n") >= max(GIVEN_ROWS, GIVEN_SHARE * total)) & (F.length("w") > 1)).collect())
+    given = _mined(rows)
     forms = cut(rows.where("person <> ''").groupBy("org", F.col("person").alias("form")).agg(F.count(F.lit(1)).alias("n")))
     roots = _roots(forms, _attach(forms, "person", given)).select(F.struct("org", "form").alias("k"), "root")
     who = skew_lookup(rows.select("row_id", "org", "person", F.struct("org", F.col("person").alias("form")).alias("k")), "k", roots, counts=forms.select(F.struct("org", "form").alias("k"), "n"))

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from quire.llm.names import abbreviates, edits, entities, entity_pairs, org_likelihood, org_words, person_likelihood, person_words, Person
+from quire.llm.names import abbreviates, edits, entities, entity_pairs, org_likelihood, org_words, person_keys, person_likelihood, person_words, Person
 
 SCHEMA = "row_no long, fname string, lname string, company string, email string, phone1 string, org_id string"
 #: Rows of one number name the same entity.
@@ -45,6 +45,24 @@ def test_words_of_one_frequent_organisation_are_its_own(spark):
     assert sorted(map(sorted, groups.values())) == sorted([i for i, r in enumerate(rows) if r[0] == k] for k in range(1, 9))
 
 
+def test_family_name_of_a_frequent_person_is_no_given_name(spark):
+    same = [("Katherine", "Dranlarfin"), ("Dranlarfin, Katherine", None), ("K.", "Dranlarfin"), ("Dranlarfin", "Katherine"), ("Katherine Dranlarfin", None)]
+    rows = [(1, *n, "Rimwal Dranlarstan Packaging") for n in same + same[:1] * 40]
+    rows += [(2 + i, f, "Dranlarfin", f"{o} Timber") for i, o in enumerate(["Palfin", "Erzan", "Vexlor", "Bexdor", "Quonset"]) for f in ("Robert", "Bob", "R.", "Robert J.", "Robert A.", "Robert C.")]
+    groups = defaultdict(set)
+    for r in entities(table(spark, rows)).collect():
+        groups[r.org_id, r.person_id].add(r.row_id)
+    assert sorted(map(sorted, groups.values())) == sorted([i for i, r in enumerate(rows) if r[0] == k] for k in range(1, 7))
+
+
+def test_names_of_given_names_only():
+    p = lambda *x: Person(person_words(*x), frozenset(["katherine", "dranlarfin"]))
+    a, b, c = p("Katherine", "Dranlarfin"), p("Dranlarfin, Katherine", None), p("K.", "Dranlarfin")
+    assert person_likelihood(a, b) == (0.0, False) and person_likelihood(b, c) is not None and person_likelihood(a, c) is not None
+    assert person_keys(a) & person_keys(b) and person_keys(b) & person_keys(c)
+    assert person_likelihood(p("Thomas", "James"), p("Thomas", "Robert")) is None
+
+
 def test_large_entities_in_blocks(spark):
     rows = [(1, None, None, "Vexlor Tamrinda Optics Inc")] * 40 + [(2, "Ann", "Torbelan", "Vexlor Tamrinda Optics")] * 30
     df = table(spark, rows)
