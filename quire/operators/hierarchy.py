@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.common import cut, parallelism, skew_lookup
@@ -232,3 +232,37 @@ def descendants(pieces: DataFrame, nodes: DataFrame) -> DataFrame:
         below = _along(front, hung, "from_piece", "from_position").select("id", "own", F.col("next").alias("piece"))
         front = cut(_look(below, length).select("id", "own", "piece", F.lit(0).cast("long").alias("low"), F.col("last").alias("high")))
     return out
+
+
+def descendant_counts(pieces: DataFrame) -> DataFrame:
+    """(`id`, `descendants`) for each id of `pieces`: how many nodes come after it, -1 for nodes of endless histories.
+
+    `pieces` comes from `path_pieces` and should be stored. The result is linear in size. One round per change of piece on the
+    longest path: what hangs below a piece is added up from the last pieces to the first."""
+    lines = pieces.where("piece_id is not null").select("id", F.col("piece_id").alias("piece"), "position")
+    length = lines.groupBy("piece").agg(F.count(F.lit(1)).alias("length"))
+    heads = pieces.where("position = 0 and piece_id is not null").select(F.col("piece_id").alias("piece"), "from_piece", "from_position")
+    nested = hierarchy(heads, id_col="piece", parent_col="from_piece").select(F.col("id").alias("piece"), F.col("depth").alias("level"))
+    tops = cut(heads.join(length, "piece").join(nested, "piece"))
+    last = tops.agg(F.max("level")).first()[0]
+    out, below = None, None
+    for level in range(last if last is not None else -1, -1, -1):
+        now = tops.where(F.col("level") == level)
+        if below is not None:
+            sums = below.groupBy(F.col("from_piece").alias("piece")).agg(F.sum("total").alias("more"))
+            now = now.join(sums, "piece", "left")
+        else:
+            now = now.withColumn("more", F.lit(0).cast("long"))
+        below = cut(now.select("piece", "from_piece", "from_position", "length", (F.col("length") + F.coalesce("more", F.lit(0))).alias("total")))
+        out = below if out is None else out.unionByName(below)
+    if out is None:
+        return pieces.select("id", F.lit(-1).cast("long").alias("descendants"))
+    hung = out.where("from_piece is not null").groupBy(F.col("from_piece").alias("piece"), F.col("from_position").alias("position")).agg(F.sum("total").alias("add"))
+    # what hangs from a place on: of the rest of its block, and of the blocks after it
+    block = F.floor(F.col("position") / SPAN)
+    placed = lines.join(hung, ["piece", "position"], "left").select("id", "piece", "position", block.alias("span"), (F.coalesce("add", F.lit(0)) + 1).alias("own"))
+    inner = Window.partitionBy("piece", "span").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outer = Window.partitionBy("piece").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    later = placed.groupBy("piece", "span").agg(F.sum("own").alias("s")).select("piece", "span", F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("later"))
+    counted = placed.select("id", "piece", "span", F.sum("own").over(inner).alias("rest")).join(later, ["piece", "span"]).select("id", (F.col("rest") + F.col("later") - 1).alias("descendants"))
+    return counted.unionByName(pieces.where("piece_id is null").select("id", F.lit(-1).cast("long").alias("descendants")))

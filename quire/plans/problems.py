@@ -39,6 +39,10 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(pieces, _asked(pieces))
 
 
+def p2_descendant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.descendant_counts(stored(p2_paths(spark, sf_dir), "pieces"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = changes.apply_changes(table(spark, sf_dir, "doc_records"), table(spark, sf_dir, "index_updates"))
     return changes.current(state).select(F.col("doc_id").alias("new_doc_id"), F.col("seq").alias("commit_seq"))
@@ -95,7 +99,7 @@ _SQL_P4 = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_paths": p2_paths, "p2_ancestors": p2_ancestors, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_valid": p5_valid}
+    return {"p2_found": p2_found, "p2_paths": p2_paths, "p2_ancestors": p2_ancestors, "p2_descendants": p2_descendants, "p2_descendant_counts": p2_descendant_counts, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_valid": p5_valid}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -113,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT up.id, min(up.anc), -1 FROM up WHERE up.anc IN (SELECT id FROM loops) GROUP BY up.id""",
         "p2_ancestors": f"{_SQL_P2} SELECT id, anc AS ancestor_id, distance FROM up WHERE id % 20 = 0",
         "p2_descendants": f"{_SQL_P2} SELECT anc AS id, id AS descendant_id, distance FROM up WHERE anc % 20 = 0 AND distance > 0",
+        "p2_descendant_counts": f"{_SQL_P2} SELECT e.id, count(up.id) - 1 AS descendants FROM e LEFT JOIN up ON up.anc = e.id GROUP BY e.id",
         "p4_found": f"{_SQL_P4} SELECT d AS new_doc_id, s AS commit_seq FROM now",
         "p4_documents": f"{_SQL_P4} SELECT d AS doc_id, s AS seq, n AS coll_name, t AS document FROM now",
         "p5_found": _sql_p5("SELECT line_no, reason FROM r WHERE reason IS NOT NULL"),

@@ -4,7 +4,7 @@ import pytest
 
 from quire.common import stored
 from quire.operators import hierarchy as h
-from quire.operators.hierarchy import ancestors, descendants, hierarchy, path_pieces
+from quire.operators.hierarchy import ancestors, descendant_counts, descendants, hierarchy, path_pieces
 
 
 def brute(parent):
@@ -106,3 +106,19 @@ def test_ancestors_and_descendants(spark, monkeypatch, span):
     got = [tuple(r) for r in descendants(pieces, asked).collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, v, k) for v, a, k in up if a % 3 == 0 and k}
     assert ancestors(pieces, asked.limit(0)).count() == descendants(pieces, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("span", [3, 1024])
+def test_descendant_counts(spark, monkeypatch, span):
+    monkeypatch.setattr(h, "SPAN", span)
+    parent = forest(150, False, 4)
+    df = spark.createDataFrame(list(parent.items()), "id long, previous_id long")
+    want = {v: 0 if d >= 0 else -1 for v, (_, d) in brute(parent).items()}
+    for v, (_, d) in brute(parent).items():
+        x = v
+        for _ in range(d):
+            x = parent[x]
+            want[x] += 1
+    rows = descendant_counts(stored(path_pieces(df, bits=5, base=10), "pieces")).collect()
+    assert len(rows) == len(want) and {r.id: r.descendants for r in rows} == want
+    assert descendant_counts(path_pieces(df.limit(0))).count() == 0
