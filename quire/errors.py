@@ -23,3 +23,7 @@ class DuplicateKeyError(QuireError):
 
 class CommitConflict(DatabaseError):
     """Another writer committed since the batch began."""
+
+
+class DeadlockError(DatabaseError):
+    """Batches wait for keys that each other holds."""

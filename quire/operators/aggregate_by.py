@@ -52,39 +52,18 @@ def apply_deltas(old: DataFrame, changes: DataFrame, group: list[str], specs: li
     look at included values only (a maximum stays when its document goes) and groups of no rows stay. With `exact_from`, the rows
     after the change, groups that lost a row are computed again and groups of no rows disappear.
     """
-    from quire.operators.aggregates import Count, First, Last, Max, Min, Sum, Sum2
-
     sign = F.col("sign")
     parts = [F.sum(sign).alias("n")]
     for name, c, a in specs:
-        x = F.col(c) if isinstance(c, str) else c
-        if isinstance(a, Count):
-            parts.append(F.sum(sign).alias(name))
-        elif isinstance(a, Sum):
-            parts.append(F.sum(x * sign).alias(name))
-        elif isinstance(a, Sum2):
-            parts.append(F.sum(x * x * sign).alias(name))
-        elif isinstance(a, Max | Min | First | Last):
-            parts.append(a.value(F.when(sign > 0, x), F.col(how.get("tie", "doc_id"))).alias(name))
-        else:
+        change = a.included(F.col(c) if isinstance(c, str) else c, sign)
+        if change is None:
             raise TypeError(f"{type(a).__name__} cannot be kept by deltas")
+        parts.append(change.alias(name))
     delta = changes.groupBy(*group).agg(*parts)
     d = delta.select(*group, *[F.col(c).alias(f"_d_{c}") for c in delta.columns if c not in group], F.lit(True).alias("_touched"))
     both = old.join(d, group, "full_outer")
 
-    def merged(name: str, a: object) -> Column:
-        o, n = F.col(name), F.col(f"_d_{name}")
-        if isinstance(a, Max):
-            return F.greatest(o, n)
-        if isinstance(a, Min):
-            return F.least(o, n)
-        if isinstance(a, First):
-            return F.coalesce(o, n)
-        if isinstance(a, Last):
-            return F.coalesce(n, o)
-        return F.when(o.isNull() & n.isNull(), None).otherwise(F.coalesce(o, F.lit(0)) + F.coalesce(n, F.lit(0)))
-
-    out = both.select(*group, (F.coalesce("n", F.lit(0)) + F.coalesce("_d_n", F.lit(0))).alias("n"), *[merged(name, a).alias(name) for name, _, a in specs])
+    out = both.select(*group, (F.coalesce("n", F.lit(0)) + F.coalesce("_d_n", F.lit(0))).alias("n"), *[a.merged(F.col(name), F.col(f"_d_{name}")).alias(name) for name, _, a in specs])
     if exact_from is None:
         return out
     lost = changes.where("sign < 0").select(*group).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
+from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,15 +22,36 @@ class Aggregate:
     def value(self, c: Column, order: Column) -> Column:
         raise NotImplementedError
 
+    def included(self, c: Column, sign: Column) -> Column | None:
+        """Aggregate of the changes alone (`sign` 1: included, -1: excluded); None if the aggregate cannot be kept by deltas."""
+        return None
+
+    def merged(self, old: Column, change: Column) -> Column:
+        """Value after the change; both may be null."""
+        return F.when(old.isNull() & change.isNull(), None).otherwise(F.coalesce(old, F.lit(0)) + F.coalesce(change, F.lit(0)))
+
     def definition(self) -> str:
         return f"{type(self).__name__}({', '.join(f'{k}={_text(v)}' for k, v in sorted(vars(self).items()))})"
 
 
-def _text(v: object) -> str:
+def _code(c: object) -> str:
+    consts = [_code(x) if hasattr(x, "co_code") else repr(x) for x in c.co_consts]
+    return f"{c.co_code.hex()}{consts}{c.co_names}{c.co_varnames}{c.co_freevars}"
+
+
+def _text(v: object, depth: int = 8) -> str:
+    """Definition of a value as text; of a function its code, defaults and the values it captured or finds in its module."""
     if isinstance(v, Aggregate):
         return v.definition()
+    if isinstance(v, partial):
+        return f"partial({_text(v.func, depth)}, {v.args!r}, {sorted(v.keywords.items())!r})"
     code = getattr(v, "__code__", None)
-    return f"{v.__qualname__}:{hashlib.sha256(code.co_code + repr(code.co_consts).encode()).hexdigest()[:16]}" if code else repr(v)
+    if code is None or depth == 0:
+        return f"{v.__module__}.{v.__qualname__}" if hasattr(v, "__qualname__") else repr(v)
+    held = [c.cell_contents for c in v.__closure__ or ()]
+    used = {n: v.__globals__[n] for n in code.co_names if n in v.__globals__ and not isinstance(v.__globals__[n], ModuleType)}
+    parts = [_code(code), *[_text(x, depth - 1) for x in (*(v.__defaults__ or ()), *held)], repr(v.__kwdefaults__), *[f"{n}={_text(x, depth - 1)}" for n, x in sorted(used.items())]]
+    return f"{v.__qualname__}:{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:16]}"
 
 
 @dataclass
@@ -38,6 +61,9 @@ class Count(Aggregate):
     def value(self, c, order):
         return F.count(F.lit(1))
 
+    def included(self, c, sign):
+        return F.sum(sign)
+
 
 @dataclass
 class Sum(Aggregate):
@@ -46,6 +72,9 @@ class Sum(Aggregate):
     def value(self, c, order):
         return F.sum(c)
 
+    def included(self, c, sign):
+        return F.sum(c * sign)
+
 
 @dataclass
 class Sum2(Aggregate):
@@ -56,6 +85,9 @@ class Sum2(Aggregate):
     def value(self, c, order):
         return F.sum(c * c)
 
+    def included(self, c, sign):
+        return F.sum(c * c * sign)
+
 
 @dataclass
 class Avg(Aggregate):
@@ -69,11 +101,10 @@ class Avg(Aggregate):
 
 @dataclass
 class StdDev(Aggregate):
-    """Population standard deviation from count, sum and sum of squares."""
+    """Population standard deviation, by central moments."""
 
     def value(self, c, order):
-        n = F.count(c)
-        return F.sqrt(F.greatest(F.lit(0.0), F.sum(c * c) / n - (F.sum(c) / n) ** 2))
+        return F.stddev_pop(c)
 
 
 @dataclass
@@ -81,12 +112,24 @@ class Max(Aggregate):
     def value(self, c, order):
         return F.max(c)
 
+    def included(self, c, sign):
+        return self.value(F.when(sign > 0, c), F.col("doc_id"))
+
+    def merged(self, old, change):
+        return F.greatest(old, change)
+
 
 @dataclass
 class Min(Aggregate):
     def value(self, c, order):
         return F.min(c)
 
+    def included(self, c, sign):
+        return self.value(F.when(sign > 0, c), F.col("doc_id"))
+
+    def merged(self, old, change):
+        return F.least(old, change)
+
 
 @dataclass
 class First(Aggregate):
@@ -95,12 +138,24 @@ class First(Aggregate):
     def value(self, c, order):
         return F.min_by(c, order)
 
+    def included(self, c, sign):
+        return self.value(F.when(sign > 0, c), F.col("doc_id"))
+
+    def merged(self, old, change):
+        return F.coalesce(old, change)
+
 
 @dataclass
 class Last(Aggregate):
     def value(self, c, order):
         return F.max_by(c, order)
 
+    def included(self, c, sign):
+        return self.value(F.when(sign > 0, c), F.col("doc_id"))
+
+    def merged(self, old, change):
+        return F.coalesce(change, old)
+
 
 @dataclass
 class Skip(Aggregate):
@@ -167,9 +222,30 @@ class Convert(Aggregate):
         return self.of.value(c.cast(self.to), order)
 
 
+@dataclass
+class Incremental(Aggregate):
+    """User aggregate that includes and excludes: `full` aggregates a column; `change` aggregates (column, sign) of the changes
+    alone; `merge` joins the value so far and the change (either may be null)."""
+
+    full: Callable[[Column], Column]
+    change: Callable[[Column, Column], Column]
+    merge: Callable[[Column, Column], Column]
+    delta = True
+
+    def value(self, c, order):
+        return self.full(c)
+
+    def included(self, c, sign):
+        return self.change(c, sign)
+
+    def merged(self, old, change):
+        return self.merge(old, change)
+
+
 @dataclass
 class Custom(Aggregate):
-    """User aggregate: a function from the values of a group, an array in key order, to a column."""
+    """User aggregate: a function from the values of a group, an array in key order, to a column. The array of a group is held by
+    one task, so for groups without a bound Incremental or Pandas is the better choice."""
 
     fn: Callable[[Column], Column]
 

@@ -17,8 +17,9 @@ MULTI, UNIQUE, UNIQUE_NO_CHECK, UNIQUE_HIDE_DUP = "multi", "unique", "unique_no_
 
 @dataclass(frozen=True)
 class IndexFunction:
-    """`emit(df)` lists the rows a document emits: each a dict of key and value columns, or with "when", a condition without
-    which it is not emitted. `revision` changes when the function does, so that the index is built anew."""
+    """`emit()` lists the rows a document emits: each a dict of key and value columns, or with "when", a condition without
+    which it is not emitted. The columns it may use are `document`, `id`, `previous_id` (0: none) and `op` (put or erase).
+    `revision` changes when the function does, so that the index is built anew."""
 
     keys: list[str]
     values: list[str]
@@ -101,7 +102,7 @@ def last_writer(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def build(docs: DataFrame, fn: IndexFunction, kind: str = MULTI, *, id_col: str = "id") -> DataFrame:
     """Index over the current documents. A unique index raises DuplicateKeyError if a key has several documents."""
-    rows = fn.rows(docs, id_col=id_col)
+    rows = fn.rows(docs if "op" in docs.columns else docs.withColumn("op", F.lit("put")), id_col=id_col)
     if kind == UNIQUE:
         found = conflicts(rows, fn.keys).limit(5).collect()
         if found:
@@ -109,21 +110,35 @@ def build(docs: DataFrame, fn: IndexFunction, kind: str = MULTI, *, id_col: str
     return last_writer(rows, fn.keys) if kind == UNIQUE_NO_CHECK else rows
 
 
-def update(index: DataFrame, feed: DataFrame, fn: IndexFunction, kind: str = MULTI) -> DataFrame:
-    """Index after the changes of `feed` (new_doc_id, old_doc_id, deleted, new_doc): rows of replaced documents go, rows of new
-    ones come. Only keys that changed are checked for uniqueness."""
+def delta(index: DataFrame, feed: DataFrame, fn: IndexFunction, kind: str = MULTI) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the changes of `feed` (new_doc_id, old_doc_id, deleted, new_doc) do to an index: rows that come, keys that go, and the
+    rows that replaced documents had.
+
+    Keys that go are document ids, or of an index with unchecked unique keys these keys, because there a row goes also when
+    its key gets another document. Only keys that changed are checked for uniqueness."""
     gone = feed.where("old_doc_id <> 0").select(F.col("old_doc_id").alias("doc_id")).distinct()
-    replaced = feed.where("old_doc_id <> 0").select(F.col("old_doc_id").alias("new_doc_id")).distinct()
-    live = feed.where("not deleted").join(replaced, "new_doc_id", "left_anti")
-    come = fn.rows(live.select(F.col("new_doc_id").alias("id"), F.col("new_doc").alias("document")))
-    out = index.join(gone, "doc_id", "left_anti").select(*come.columns).unionByName(come)
+    live = feed.where("not deleted").join(gone.withColumnRenamed("doc_id", "new_doc_id"), "new_doc_id", "left_anti")
+    docs = live.select(F.col("new_doc_id").alias("id"), F.col("old_doc_id").alias("previous_id"), F.col("new_doc").alias("document"), F.lit("put").alias("op"))
+    come = fn.rows(docs)
+    dead = index.join(gone, "doc_id", "left_semi").select(*come.columns)
     if kind == UNIQUE:
         # two replacements of one document in one batch conflict as well
         both = feed.where("old_doc_id <> 0 and not deleted").groupBy("old_doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+        out = index.join(gone, "doc_id", "left_anti").select(*come.columns).unionByName(come)
         found = conflicts(out, fn.keys, come).limit(5).collect()
         if both or found:
             raise DuplicateKeyError([tuple(r[k] for k in fn.keys) for r in found] or [r.old_doc_id for r in both])
-    return last_writer(out, fn.keys) if kind == UNIQUE_NO_CHECK else out
+    if kind == UNIQUE_NO_CHECK:
+        touched = come.select(*fn.keys).distinct()
+        kept = index.join(gone, "doc_id", "left_anti").join(touched, fn.keys, "left_semi").select(*come.columns)
+        return last_writer(kept.unionByName(come), fn.keys), touched.unionByName(dead.select(*fn.keys)).distinct(), dead
+    return come, gone, dead
+
+
+def update(index: DataFrame, feed: DataFrame, fn: IndexFunction, kind: str = MULTI) -> DataFrame:
+    """Index after the changes of `feed`: rows of replaced documents go, rows of new ones come."""
+    come, gone, _ = delta(index, feed, fn, kind)
+    return index.join(gone, gone.columns, "left_anti").select(*come.columns).unionByName(come)
 
 
 def view(index: DataFrame, fn: IndexFunction, kind: str = MULTI, storage: DataFrame | None = None) -> View:

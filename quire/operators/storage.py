@@ -57,28 +57,43 @@ def dense_ids(df: DataFrame, first: int, order: list[Column]) -> DataFrame:
     return placed.select((offset[F.col("_part")] + local).cast("long").alias("id"), *df.columns)
 
 
+def new_revisions(docs: DataFrame, first_id: int, order: list[Column] | None = None) -> DataFrame:
+    """`docs` (document, previous_id) as revisions with ids from `first_id` on."""
+    new = dense_ids(docs.select(F.coalesce("previous_id", F.lit(0)).cast("long").alias("previous_id"), "document"), first_id, order or [F.col("previous_id"), F.col("document")])
+    return new.select("id", "previous_id", F.lit(False).alias("deleted"), F.lit(True).alias("has_value"), "document")
+
+
+def new_tombstones(ids: DataFrame, first_id: int) -> DataFrame:
+    """Tombstones for the documents `ids` (id), with ids from `first_id` on."""
+    new = dense_ids(ids.select(F.col("id").alias("previous_id")), first_id, [F.col("previous_id")])
+    return new.select("id", "previous_id", F.lit(True).alias("deleted"), F.lit(False).alias("has_value"), F.lit(None).cast("string").alias("document"))
+
+
 def put(rev: DataFrame, docs: DataFrame, first_id: int, *, order: list[Column] | None = None, check: bool = True) -> DataFrame:
     """`docs` (document, previous_id) as new revisions with ids from `first_id` on; ReferencedDocumentNotFound if a named
     predecessor is neither in `rev` nor among the new ones."""
-    new = dense_ids(docs.select(F.coalesce("previous_id", F.lit(0)).cast("long").alias("previous_id"), "document"), first_id, order or [F.col("previous_id"), F.col("document")])
-    new = new.select("id", "previous_id", F.lit(False).alias("deleted"), F.lit(True).alias("has_value"), "document")
+    new = new_revisions(docs, first_id, order)
     return checked(rev, new) if check else new
 
 
 def erase(rev: DataFrame, ids: DataFrame, first_id: int, *, check: bool = True) -> DataFrame:
     """Tombstones for the documents `ids` (id)."""
-    new = dense_ids(ids.select(F.col("id").alias("previous_id")), first_id, [F.col("previous_id")])
-    new = new.select("id", "previous_id", F.lit(True).alias("deleted"), F.lit(False).alias("has_value"), F.lit(None).cast("string").alias("document"))
+    new = new_tombstones(ids, first_id)
     return checked(rev, new) if check else new
 
 
-def checked(rev: DataFrame, new: DataFrame) -> DataFrame:
-    """`new` if every predecessor it names is known."""
-    new = cut(new)
+def check_known(rev: DataFrame, new: DataFrame) -> None:
+    """ReferencedDocumentNotFound if `new` names a predecessor that is neither in `rev` nor among the new ones."""
     known = rev.select(F.col("id").alias("previous_id")).unionByName(new.select(F.col("id").alias("previous_id")))
     missing = new.where("previous_id <> 0").join(known, "previous_id", "left_anti").limit(5).collect()
     if missing:
         raise ReferencedDocumentNotFound([r.previous_id for r in missing])
+
+
+def checked(rev: DataFrame, new: DataFrame) -> DataFrame:
+    """`new` if every predecessor it names is known."""
+    new = cut(new)
+    check_known(rev, new)
     return new
 
 
@@ -101,6 +116,8 @@ def levels(rev: DataFrame, n: int) -> DataFrame:
     for i in range(1, n + 1):
         step = front.where("previous_id <> 0").select(F.col("previous_id").alias("id")).distinct()
         front = rev.select("id", "previous_id").join(step, "id", "left_semi").withColumn("level", F.lit(i))
+        if i < n:
+            front = cut(front)  # else each further level would compute all levels above it again
         out = out.unionByName(front)
     deepest = out.groupBy("id").agg(F.max("level").alias("level"))
     return rev.join(deepest, "id", "left")

@@ -65,8 +65,9 @@ def maintain_index(spark: SparkSession, log: str, table: Versions, fn: ix.IndexF
 
 def deltas(feed: DataFrame, fn: ix.IndexFunction) -> DataFrame:
     """Rows of an index function that changes exclude (sign -1) and include (sign 1)."""
-    old = fn.rows(feed.where("old_doc is not null").select(F.col("old_doc_id").alias("id"), F.col("old_doc").alias("document"))).withColumn("sign", F.lit(-1))
-    new = fn.rows(feed.where("not deleted").select(F.col("new_doc_id").alias("id"), F.col("new_doc").alias("document"))).withColumn("sign", F.lit(1))
+    old = feed.where("old_doc is not null").select(F.col("old_doc_id").alias("id"), F.col("old_old_doc_id").alias("previous_id"), F.col("old_doc").alias("document"), F.lit("erase").alias("op"))
+    new = feed.where("not deleted").select(F.col("new_doc_id").alias("id"), F.col("old_doc_id").alias("previous_id"), F.col("new_doc").alias("document"), F.lit("put").alias("op"))
+    old, new = fn.rows(old).withColumn("sign", F.lit(-1)), fn.rows(new).withColumn("sign", F.lit(1))
     return old.unionByName(new)
 
 

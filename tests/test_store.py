@@ -253,3 +253,154 @@ def test_python_functions(spark):
     rows = feed.put(df)
     assert rows["t"].count() == 2 and feed.next_id == 3 and feed.get(1) is None
     assert feed.erase(rows, ids(spark, 1))["t"].first().text == "c"
+
+
+def test_purge_and_repair_reach_all(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    e.open_table("docs", STORAGE)
+    e.create_index("b", "docs", LENGTH)
+    e.put("docs", docs(spark, "hello", "bar"))
+    e.create_aggregate("n", "b", ["length"], [("n", "length", A.Count())])
+    seen, keys = [], []
+    e.after_commit.append(lambda name, feed: seen.extend((r.new_doc_id, r.old_doc_id, r.old_doc) for r in feed.collect()))
+    e.observe_keys("b", lambda df: keys.extend(tuple(r) for r in df.collect()))
+    bar = (e.view("b") == 3).rows().first().doc_id
+    e.purge("docs", ids(spark, bar, 77))
+    assert seen == [(bar, bar, "bar")] and keys == [(3, "delete")]
+    assert e.update("n") and {tuple(r) for r in e.read("n").collect()} == {(5, 1)}
+    hello = e.view("b").rows().first().doc_id
+    e.indexes.clear()  # a purge that the index does not see
+    e.purge("docs", ids(spark, hello))
+    e.indexes["b"] = ("docs", LENGTH, ix.MULTI)
+    assert e.check_references("b", repair=True).count() == 1 and e.read("b").count() == 0
+    assert e.update("n") and e.read("n").count() == 0
+    # a purged record that comes back from a backup is found again
+    e.restore_backup("docs", spark.createDataFrame([(hello, 0, False, True, "hello")], st.SCHEMA))
+    assert e.view("b").get(5).doc_id == hello
+
+
+def test_batches_and_listeners(spark, tmp_path):
+    from quire.plans.engine import BatchListener
+
+    class Told(BatchListener):
+        def __init__(self):
+            self.calls = []
+
+        def before_commit(self, batch):
+            self.calls.append(("before", len(batch.feeds)))
+            if any(n == "forbidden" for n, _ in batch.feeds):
+                raise ValueError("forbidden")
+
+        def after_commit(self, version):
+            self.calls.append(("after", version))
+
+        def on_rollback(self, batch):
+            self.calls.append("rollback")
+
+    e = Engine(spark, str(tmp_path / "e"))
+    e.open_table("docs", STORAGE)
+    e.open_table("m", MAP)
+    e.open_table("forbidden", MAP)
+    told, seen, keys = Told(), [], []
+    e.batch_listeners.append(told)
+    e.after_commit.append(lambda name, feed: seen.append((name, feed.count())))
+    e.observe_keys("m", lambda df: keys.extend(tuple(r) for r in df.collect()))
+    pairs = lambda *x: spark.createDataFrame(list(x), "key long, value string").coalesce(1)
+    with e.batch() as b:
+        b.put("docs", docs(spark, "one", "two"))
+        b.put("docs", docs(spark, ("three", 1)))
+        b.put_map("m", pairs((1, "a"), (2, "b"), (1, "c"), (None, "x")), ["key"])
+    assert seen == [("docs", 2), ("docs", 1), ("m", 3)] and told.calls[0] == ("before", 3) and told.calls[1][0] == "after"
+    assert sorted((tuple(r) for r in e.read("m").collect()), key=str) == [(1, "c"), (2, "b"), (None, "x")]
+    assert sorted(keys, key=str) == [(1, "put"), (2, "put"), (None, "put")]
+    e.put_map("m", pairs((None, "y"), (2, "d")), ["key"])
+    e.erase_map("m", spark.createDataFrame([(1,)], "key long"))
+    assert sorted((tuple(r) for r in e.view("m").rows().collect()), key=str) == [(2, "d"), (None, "y")] and keys[-1] == (1, "delete")
+    with pytest.raises(ValueError):
+        e.put_map("forbidden", pairs((1, "a")), ["key"])
+    assert told.calls[-1] == "rollback" and e.read("forbidden").count() == 0
+    # writers of different collections do not disturb each other, those of one do
+    one, two = Engine(spark, str(tmp_path / "e")), Engine(spark, str(tmp_path / "e"))
+    with one.batch() as a:
+        a.put_map("m", pairs((7, "q")), ["key"])
+        two.put("docs", docs(spark, "four"))
+    assert one.read("docs").count() == 4 and one.view("m").get(7).value == "q"
+    with pytest.raises(CommitConflict), one.batch() as a:
+        a.put_map("m", pairs((8, "q")), ["key"])
+        two.load()
+        two.put_map("m", pairs((9, "q")), ["key"])
+
+
+def test_layers_equal_whole(spark, tmp_path):
+    """Many small commits leave what one index built over all gives, whatever was written together meanwhile."""
+    e = Engine(spark, str(tmp_path / "e"))
+    e.open_table("docs", STORAGE)
+    e.create_index("multi", "docs", PAIR)
+    e.create_index("last", "docs", PAIR, ix.UNIQUE_NO_CHECK)
+    e.create_aggregate("n", "multi", ["text"], [("n", "value", A.Count()), ("s", "value", A.Sum())], auto_update=True)
+    model, last = {}, {}
+    for i in range(12):
+        t, old = f"t{i % 3}", max((d for d in model), default=0) if i % 4 == 3 else 0
+        new = e.put("docs", pair(spark, (t, i, old))).first().id
+        if old:
+            gone = model.pop(old)
+            if last.get(gone[0], (None, 0))[1] == old:
+                del last[gone[0]]
+        model[new], last[t] = (t, i), (i, new)
+    assert {tuple(r) for r in e.read("multi").select("text", "value", "doc_id").collect()} == {(t, v, d) for d, (t, v) in model.items()}
+    assert {tuple(r) for r in e.read("last").select("text", "value", "doc_id").collect()} == {(t, v, d) for t, (v, d) in last.items()}
+    sums = {}
+    for t, v in model.values():
+        sums[t] = (sums.get(t, (0, 0))[0] + 1, sums.get(t, (0, 0))[1] + v)
+    assert {r.text: (r.n, r.s) for r in e.read("n").collect()} == sums
+    assert all(len(c.layers) <= 8 for c in e.collections.values()) and e.check_storage("docs").count() == 0
+    e.purge("docs", ids(spark, 5))
+    assert {r.id for r in e.read("docs").collect()} == set(range(1, 13)) - {5}
+
+
+def test_background_refresh(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    e.open_table("docs", STORAGE)
+    e.create_index("b", "docs", LENGTH)
+    e.create_aggregate("n", "b", ["length"], [("n", "length", A.Count())], auto_update=True, background=True)
+    for word in ("a", "bb", "cc", "a"):
+        e.put("docs", docs(spark, word))
+    e.wait()
+    assert {tuple(r) for r in e.read("n").collect()} == {(1, 2), (2, 2)} and e.dirty("n") is None
+    e.close()
+
+
+def test_definition_hash():
+    def by(k):
+        return A.Transform(lambda c: c * k, A.Sum())
+
+    assert A.revision([("s", "x", by(2))], []) != A.revision([("s", "x", by(3))], []) and A.revision([("s", "x", by(2))], []) == A.revision([("s", "x", by(2))], [])
+
+
+def test_key_locks():
+    import threading
+
+    from quire.errors import DeadlockError
+    from quire.plans.locks import KeyLocks
+
+    locks, a, b, got = KeyLocks(), object(), object(), []
+    locks.lock(a, 1)
+    locks.lock(b, 2)
+    assert not locks.try_lock(b, 1) and locks.try_lock(a, 1)
+    t = threading.Thread(target=lambda: (locks.lock(a, 2), got.append(2)))
+    t.start()
+    while not locks._waits:
+        pass
+    with pytest.raises(DeadlockError):
+        locks.lock(b, 1)
+    locks.release(b)
+    t.join(5)
+    assert got == [2]
+
+
+def test_incremental_user_aggregate(spark):
+    product = A.Incremental(F.product, lambda c, sign: F.product(F.when(sign > 0, c).otherwise(1 / c)), lambda old, change: F.coalesce(old, F.lit(1.0)) * F.coalesce(change, F.lit(1.0)))
+    rows = spark.createDataFrame([("a", 2.0, 1, 1), ("a", 4.0, 1, 2), ("b", 5.0, 1, 3)], "k string, x double, sign int, doc_id long")
+    old = aggregate_by(rows, ["k"], [("n", "x", A.Count()), ("p", "x", product)])
+    changes = spark.createDataFrame([("a", 4.0, -1, 2), ("b", 3.0, 1, 4), ("c", 7.0, 1, 5)], "k string, x double, sign int, doc_id long")
+    assert {tuple(r) for r in apply_deltas(old, changes, ["k"], [("p", "x", product)]).collect()} == {("a", 1, 2.0), ("b", 2, 15.0), ("c", 1, 7.0)}
