@@ -67,6 +67,10 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"))
 
 
+def p8_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.open_slots(table(spark, sf_dir, "documents"))
+
+
 _SQL_P1 = """
     WITH t AS (SELECT row_no, list_sort(list_filter([
         regexp_replace(lower(coalesce(x, '')), '[\\s\\pZ\\pP\\pS\\pC]', '', 'g') FOR x IN [email, fname, lname, phone1]], lambda v: v <> '')) AS k FROM customers),
@@ -91,7 +95,7 @@ _SQL_P7 = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_entities": p3_entities, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_entities": p3_entities, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_slots": p8_slots}
 
 
 def oracle_sql() -> dict[str, str]:

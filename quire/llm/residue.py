@@ -1,10 +1,13 @@
 """Posts that are nothing but template residue, filler, error pages or notices that scripts are required.
 
 The own text of a post, without markup, quotations, navigation lines and signature, falls into messages (lines and
-sentences). Variable parts are masked and equal messages counted; a fixed-depth prefix tree (number of tokens, then the
-first tokens) sorts the distinct ones into leaves, where similar ones merge into templates. Each template is classified once
-and its verdict goes to all its messages. Templates with open slots also pass their verdict to messages that say the same
-with empty slots or with non-values in them. A post is residue if all of its messages are.
+sentences), in which variable parts are masked. A fixed-depth prefix tree (number of tokens, then the first tokens) sorts the
+distinct messages into leaves, where similar ones merge into templates; words that tell what a template is never become
+variable. Each template is classified once and its verdict goes to all its messages by hash. Two verdicts come from how
+templates are used in all posts, not from their words: a template without verdict that stands almost only beside different
+ones with a verdict belongs to these pages, and a sentence with one open slot is a template, not talk about the slot, if
+posts consist of it. Messages that say what a template with open slots says, with gaps or non-values in these places, count
+as its instances. A post is residue if all of its messages are. Open slots inside ordinary posts are reported apart.
 """
 
 from __future__ import annotations
@@ -13,28 +16,35 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.common import cut, parallelism, skew_lookup, slices, spread
+from quire.common import cut, parallelism, skew_lookup, slices, spread, stored
 from quire.llm.words import BBCODE_BLOCK, BBCODE_INLINE, HTML_BLOCK, HTML_INLINE
 
 #: Depth of the prefix tree below the root: number of tokens, then so many leading tokens.
 DEPTH = 3
 #: Share of equal tokens from which a message joins a template.
 SIMILAR = 0.6
-#: Messages of one leaf are dealt into so many parts by hash, so a leaf with very many messages is no single task.
-PARTS = 16
-
-SLOT, NIL, VAR = "‹slot›", "‹nil›", "‹*›"
-_OPEN = {SLOT, NIL}
+#: A leaf with more messages than this is dealt into parts of about so many by hash; templates of the same text are one.
+LEAF = 20_000
+#: A template without verdict belongs to pages of residue if it stands in so many posts or more whose other messages all have
+#: verdicts of at least two templates, and these are at least this share of all its occurrences.
+COMPANY_POSTS, COMPANY_SHARE = 3, 0.8
+#: A sentence with one open slot is residue by itself if so many posts or more, and this share of its posts, consist of residue.
+SLOT_POSTS, SLOT_SHARE = 2, 0.5
+#: Distinct messages a task remembers as sent; others are sent again, which costs a row but changes nothing.
+SEEN = 200_000
+
+#: Open slot, non-value, variable value (a number, path or address), and any word (a letter, so that it counts as a word).
+SLOT, NIL, VAR, ANY = "‹slot›", "‹nil›", "‹*›", "ǂ"
 
 _names = lambda *x: "|".join(sorted({n for y in x for n in y.split()} - {"link", "title", "data", "label", "address", "time", "summary", "source", "user", "email", "caption", "section", "header", "footer", "option", "object", "code", "img", "quote"}))
 _INLINE = re.compile(rf"</?(?:{_names(HTML_INLINE)})(?:[\s/][^<>]*)?>|\[/?(?:{_names(BBCODE_INLINE)})(?:[=\s][^\[\]]*)?\]|\[email=[^\[\]]*\]|\[/(?:email|user)\]", re.I)
 _BLOCK = re.compile(rf"<!--.*?-->|</?(?:{_names(HTML_BLOCK)}|code|img|section|header|footer)(?:[\s/][^<>]*)?>|</(?:link|title|time|address)>|<(?:link|time|object|source)\s[^<>]*>|\[/?(?:{_names(BBCODE_BLOCK)})(?:[=\s][^\[\]]*)?\]|\[/?(?:code|img)(?:[=\s][^\[\]]*)?\]", re.I | re.S)
-_QUOTE = re.compile(r"<blockquote\b[^<>]*>(?:(?!</?blockquote\b).)*</blockquote\s*>|\[quote\b[^\[\]]*\](?:(?!\[/?quote\b).)*\[/quote\]", re.I | re.S)
 _QUOTE_MARK = re.compile(r"</?blockquote[^<>]*>|\[/?quote[^\[\]]*\]", re.I)
 _QUOTE_LINE = re.compile(r"^[ \t\xa0]*(?:[>|»][^\n]*|[^\n]{1,60}\b(?:wrote|said|schrieb|escribió|dijo)(?: on [^\n]*)?:)[ \t\xa0]*$", re.M)
 _SIGNATURE = re.compile(r"(?:^|\n)[ \t\xa0]*(?:--+|_{3,}|~[ \t\xa0]+\S[^\n]{0,80})[ \t\xa0]*(?:\n[^\n]{0,80}){0,3}\s*\Z")
@@ -51,25 +61,39 @@ _SLOTS = re.compile(
 # What programs print for a missing value.
 _NILS = re.compile(r"(?<![\w'-])(?:undefined|null|None|NaN|nil|NULL|N/A|n/a|\(null\)|\[object Object\]|\(none\)|#N/A|#REF!|#VALUE!)(?![\w'-])|(?<!\S)\?{2,}")
 _NIL_PARTS = ("undefined", "null", "None", "NaN", "nil", "NULL", "N/A", "n/a", "[object Object]", "(none)", "#REF!", "#VALUE!", "??")
-#: What every variable part has: a digit, a slash, or a stop within a word.
-_MAY_VARY = re.compile(r"[\d/]|\w\.\w")
 _VARS = re.compile(r"https?://\S+|(?<!\w)/[\w.-]+(?:/[\w.-]+)+(?:[:(]\d+\)?:?)?|(?<!\w)(?=[\w.-]*\d)[\w-]+(?:\.[\w-]+)*|\b[\w-]+(?:\.[\w-]+)+\.(?:example|invalid|test|com|org|net)\b")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\s*\n\s*")
+_SENTENCE = re.compile(r"([.!?…])[\"')\]]*\s+")
+_GAP_SIGNS = ("  ", " ,", " .", " !", " ?", " :", " ;", ":.", "\t")
 _GAP = re.compile(r"[ \t\xa0]{2,}|\s[,.!?:;](?=\s|$)|:\s*$|:\s*\.|^\s+\S")
 _TOKEN = re.compile(rf"{SLOT}|{NIL}|{re.escape(VAR)}|[^\W_]+(?:['’][^\W_]+)?|#\d+|[{{}}()]")
 
 
+def _unquoted(text: str) -> str:
+    """The text without quotations between marks, in one pass however deep they are nested; a mark without its partner is dropped."""
+    opened: dict[str, list[int]] = {"b": [], "q": []}
+    spans, marks = [], []
+    for m in _QUOTE_MARK.finditer(text):
+        mark = m[0].lower()
+        kind = "b" if "blockquote" in mark else "q"
+        if mark[1] != "/":
+            opened[kind].append(m.start())
+        elif opened[kind]:
+            spans.append((opened[kind].pop(), m.end()))
+            continue
+        marks.append((m.start(), m.end()))
+    out, at = [], 0
+    for a, b in sorted(spans + marks):
+        if a >= at:
+            out.append(text[at:a])
+        at = max(at, b)
+    return "\n".join([*out, text[at:]])
+
+
 def own_text(text: str) -> str:
     """The post's own text: no markup, quotation, navigation or signature."""
     if "<" in text or "[" in text:
-        lower = text.lower()
-        for _ in range(lower.count("<blockquote") + lower.count("[quote")):
-            less = _QUOTE.sub("\n", text)
-            if less == text:
-                break
-            text = less
+        text = _unquoted(text)
         text = _BLOCK.sub("\n", _INLINE.sub("", _PICTURE.sub(" ", text)))
-        text = _QUOTE_MARK.sub("\n", text)
     if "&" in text:
         text = html.unescape(text)
     text = text.replace("\xa0", " ").strip("\n")
@@ -79,6 +103,24 @@ def own_text(text: str) -> str:
     return _NAVIGATION.sub("", text) if any(c in text for c in "|»›/·") else text
 
 
+class _Words(dict):
+    """What a chunk between blanks becomes; chunks repeat, so each is looked at once."""
+
+    def __init__(self, mask: bool):
+        super().__init__()
+        self.mask = mask
+
+    def __missing__(self, chunk: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        text = _VARS.sub(f" {VAR} ", chunk) if self.mask else chunk
+        self[chunk] = out = " ".join(_TOKEN.findall(text.lower()))
+        return out
+
+
+_MASKED, _PLAIN = _Words(True), _Words(False)
+
+
 def messages(text: str) -> list[tuple[str, bool]]:
     """Messages of a post, masked, and whether a gap in it may be an empty slot."""
     own = own_text(text)
@@ -88,63 +130,20 @@ def messages(text: str) -> list[tuple[str, bool]]:
     if any(n in own for n in _NIL_PARTS):
         own = _NILS.sub(f" {NIL} ", own)
     out = []
-    for part in _SPLIT.split(own):
-        if not part:
-            continue
-        masked = _VARS.sub(f" {VAR} ", part) if _MAY_VARY.search(part) and not part.startswith("#") else part
-        tokens = _TOKEN.findall(masked.lower())
-        if tokens:
-            gap = False
-            if not doubled:
-                gap = bool(_GAP.search(part.replace(f" {SLOT} ", "x").replace(f" {NIL} ", "x")))
-            out.append((" ".join(tokens), gap))
+    for part in _SENTENCE.sub("\\1\n", own).split("\n"):
+        words = _PLAIN if part.startswith("#") else _MASKED
+        message = " ".join([t for t in [words[c] for c in part.split()] if t])
+        if message:
+            if "‹" in part:
+                part = part.replace(f" {SLOT} ", "x").replace(f" {NIL} ", "x")
+            gap = not doubled and (any(x in part for x in _GAP_SIGNS) or part.rstrip()[-1:] == ":") and bool(_GAP.search(part.strip()))
+            out.append((message, gap))
     return out
 
 
 def skeleton(message: str) -> str:
     """What is constant in a message with slots."""
-    return " ".join(t for t in message.split() if t not in (SLOT, NIL, VAR))
-
-
-class Tree:
-    """Fixed-depth prefix tree of message templates.
-
-    A leaf finds the templates to compare with by an index of its tokens: a template that equals a message in enough places
-    does so in at least one of any few places, so those of the message's rarest tokens are all that can match.
-    """
-
-    def __init__(self, depth: int = DEPTH, similar: float = SIMILAR):
-        self.depth, self.similar = depth, similar
-        self.leaves: dict[str, tuple[list[list[str]], dict[tuple[int, str], list[int]]]] = {}
-
-    @staticmethod
-    def path(message: str, depth: int = DEPTH) -> str:
-        tokens = message.split()
-        return " ".join([str(len(tokens)), *[VAR if t in (SLOT, NIL) else t for t in tokens[: depth - 1]]])
-
-    def add(self, message: str) -> list[str]:
-        """The template the message belongs to; its variable tokens may grow later."""
-        tokens = message.split()
-        n = len(tokens)
-        templates, index = self.leaves.setdefault(self.path(message, self.depth), ([], {}))
-        need = max(1, math.ceil(self.similar * n - 1e-9))
-        found = sorted((index.get((i, t), []) for i, t in enumerate(tokens)), key=len)
-        best, most = None, need - 1
-        for j in sorted(set().union(*found[: n - need + 1])):
-            template = templates[j]
-            same = sum(map(str.__eq__, template, tokens))
-            # slots and non-values are what templates are classified by: they are no variable like others
-            if same > most and all((a in _OPEN) == (b in _OPEN) for a, b in zip(template, tokens, strict=True)):
-                best, most = template, same
-        if best is None:
-            for i, t in enumerate(tokens):
-                index.setdefault((i, t), []).append(len(templates))
-            templates.append(tokens)
-            return tokens
-        for i, t in enumerate(tokens):
-            if best[i] != t:
-                best[i] = VAR
-        return best
+    return " ".join(t for t in message.split() if t not in (SLOT, NIL, VAR)) if "‹" in message else message
 
 
 # Vocabulary of the usual filler passage.
@@ -190,8 +189,64 @@ _FILLER = re.compile(
 )
 
 
+class _Telling(dict):
+    """Whether a token takes part in the verdict on a template: the words of the rules, and what they take for such."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        rules = " ".join(x.pattern for x in (_ERROR, _SCRIPT_WORD, _SCRIPT, _SCRIPT_MORE, _FILLER, _SELF))
+        rules = re.sub(r"\\[a-zA-Z]", " ", rules)
+        self.words = frozenset(re.findall(r"[^\W\d_]+", rules)) | LOREM | MASH
+        self.stems = tuple(sorted(w for w in self.words if len(w) >= 6))
+
+    def __missing__(self, t: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[t] = out = t in (SLOT, NIL, VAR) or not t[0].isalpha() or t in self.words or t.startswith(self.stems) or t.endswith(("error", "exception")) or (len(set(t)) == 1 and len(t) > 2)
+        return out
+
+
+TELLING = _Telling()
+
+
+class Tree:
+    """Fixed-depth prefix tree of message templates.
+
+    A leaf groups its templates by their telling words and the places of these, which must be the same; among such templates
+    the one with the most equal tokens takes a message, if enough are equal. Other tokens that differ become variable.
+    """
+
+    def __init__(self, depth: int = DEPTH, similar: float = SIMILAR):
+        self.depth, self.similar = depth, similar
+        self.leaves: dict[tuple[str, tuple], list[list[str]]] = {}
+
+    @staticmethod
+    def path(message: str, depth: int = DEPTH) -> str:
+        n = message.count(" ") + 1
+        return " ".join([str(n), *[VAR if t in (SLOT, NIL) else t for t in message.split(" ", depth - 1)[: depth - 1]]])
+
+    def add(self, message: str) -> list[str]:
+        """The template the message belongs to; its variable tokens may grow later."""
+        tokens = message.split()
+        told = tuple([(i, t) for i, t in enumerate(tokens) if TELLING[t]])
+        templates = self.leaves.setdefault((self.path(message, self.depth), told), [])
+        best, most = None, max(1, math.ceil(self.similar * len(tokens) - 1e-9)) - 1
+        for template in templates:
+            same = sum(map(str.__eq__, template, tokens))
+            if same > most:
+                best, most = template, same
+        if best is None:
+            templates.append(tokens)
+            return tokens
+        if most < len(tokens):
+            for i, t in enumerate(tokens):
+                if best[i] != t:
+                    best[i] = ANY
+        return best
+
+
 def classify(template: str) -> str | None:
-    """Kind of residue the template is, from itself alone: 'slots', 'slot' (one only), 'nils', 'filler', 'error', 'script', or None."""
+    """Kind of residue the template is, by its words: 'slots', 'slot' (one only, left open), 'nils', 'filler', 'error', 'script', or None."""
     tokens = template.split()
     slots, nils = tokens.count(SLOT), tokens.count(NIL)
     own = _SELF.search(template) is not None
@@ -218,67 +273,120 @@ def classify(template: str) -> str | None:
     return None
 
 
-_UNITS = "doc_id {0}, units int, message string, gap boolean"
+_UNITS = "doc_id {0}, h binary, gap boolean, slots int, message string"
+
+
+def _hash(text: str) -> bytes:
+    return blake2b(text.encode(), digest_size=16).digest()
 
 
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per message: `doc_id`, `units` (messages of the post), `message`, `gap`."""
+    """One row per message: `doc_id`, `h` (128 bits of the message), `gap`, `slots` (open ones in it), `message` (the text where a
+    task meets it first, else null)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[str, bytes] = {}
         for batch in slices(batches):
-            at, n, message, gap = [], [], [], []
+            at, h, gap, slots, message = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 got = messages(t) if t else []
                 at += [i] * len(got)
-                n += [len(got)] * len(got)
-                message += [m for m, _ in got]
-                gap += [g for _, g in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(message, pa.string()), pa.array(gap, pa.bool_())], ["doc_id", "units", "message", "gap"])
+                for m, g in got:
+                    known = hashes.get(m)
+                    message.append(None if known else m)
+                    if not known:
+                        if len(hashes) >= SEEN:
+                            hashes.clear()
+                        known = hashes[m] = _hash(m)
+                    h.append(known)
+                    gap.append(g)
+                    slots.append(m.count(SLOT))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(h, pa.binary()), pa.array(gap, pa.bool_()), pa.array(slots, pa.int32()), pa.array(message, pa.string())],
+                ["doc_id", "h", "gap", "slots", "message"],
+            )
 
     return spread(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, _UNITS.format(kind))
 
 
+_MINED = "h binary, template binary, verdict string, nil boolean, bones binary"
+
+
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct messages of whole parts of leaves -> (message, template, verdict, skeleton)."""
+    """Messages (`message`) of whole parts of leaves -> (h, template, verdict, nil, bones), one row per distinct message; `template`
+    and `bones` are hashes of the template's text and of what is constant in the message. A template is classified once."""
     got = sorted({m for b in batches for m in b.column(0).to_pylist()})
     if not got:
         return
     tree = Tree()
     placed = [(m, tree.add(m)) for m in got]
-    verdicts: dict[str, str | None] = {}
+    done: dict[int, tuple[bytes, str | None]] = {}
     rows = []
     for m, t in placed:
-        template = " ".join(t)
-        if template not in verdicts:
-            verdicts[template] = classify(template)
-        rows.append((m, template, verdicts[template] or classify(m) if VAR in t else verdicts[template], skeleton(m)))
-    for i in range(0, len(rows), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[i : i + 20_000], strict=True)], ["message", "template", "verdict", "skeleton"])
-
-
-def templates(distinct: DataFrame) -> DataFrame:
-    """(`message`, `template`, `verdict`, `skeleton`) of each row of `distinct` (`message`)."""
-    path = F.array_join(F.slice(F.split("message", " "), 1, DEPTH - 1), " ")
-    n = F.size(F.split("message", " "))
-    return distinct.select("message").repartition(parallelism(distinct.sparkSession), n, path, F.pmod(F.xxhash64("message"), F.lit(PARTS))).mapInArrow(_mine, "message string, template string, verdict string, skeleton string")
+        known = done.get(id(t))
+        if known is None:
+            text = " ".join(t)
+            known = done[id(t)] = (_hash(text), classify(text))
+        h = _hash(m)
+        rows.append((h, *known, NIL in m, _hash(skeleton(m)) if "‹" in m else h))
+        if len(rows) == 20_000:
+            yield _mined_batch(rows)
+            rows = []
+    if rows:
+        yield _mined_batch(rows)
+
+
+def _mined_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.binary(), pa.string(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "template", "verdict", "nil", "bones"])
+
+
+def templates(texts: DataFrame) -> DataFrame:
+    """(`h`, `template`, `verdict`, `nil`, `bones`) of each distinct message of `texts` (`message`)."""
+    spark = texts.sparkSession
+    path = F.array_join(F.slice(F.split("message", " ", DEPTH), 1, DEPTH - 1), " ")
+    path = F.regexp_replace(path, f"{SLOT}|{NIL}", VAR)
+    leaf = texts.select("message", F.xxhash64(F.length("message") - F.length(F.replace("message", F.lit(" "), F.lit(""))), path).alias("leaf"))
+    large = leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF).select("leaf", F.ceil(F.col("n") / LEAF).alias("parts"))
+    dealt = leaf.join(large, "leaf", "left").select("message", "leaf", F.coalesce(F.pmod(F.xxhash64("message"), "parts"), F.lit(0)).alias("part"))
+    return dealt.repartition(parallelism(spark), "leaf", "part").select("message").mapInArrow(_mine, _MINED)
+
+
+def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(`doc_id`, `h`, `slots`, `kind`) of each message; kind is null where it is content."""
+    rows = stored(units(docs, key, text), "units")
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    mined = stored(templates(rows.where("message is not null").select("message")), "templates")
+    # what templates with open slots say around them; where the same is said with gaps or non-values, they apply
+    bones = mined.where("verdict in ('slots', 'slot')").select("bones").distinct().withColumn("known", F.lit(True))
+    table = cut(mined.join(bones, "bones", "left").where("verdict is not null or known").select("h", "template", "verdict", "nil", F.coalesce("known", F.lit(False)).alias("known")))
+    found = skew_lookup(rows.select("doc_id", "h", "gap", "slots"), "h", table, counts=counts)
+    kind = F.when(F.col("known") & (F.col("gap") | F.col("nil")), F.lit("slots")).when(F.col("verdict") == "nils", "slots").otherwise(F.col("verdict"))
+    first = cut(found.select("doc_id", "h", "slots", "template", kind.alias("kind")))
+
+    # how templates are used: posts of which all messages but one kind of template are residue
+    sure = F.col("kind").isNotNull() & (F.col("kind") != "slot")
+    bad = first.groupBy("doc_id").agg(F.count(F.when(sure, 1)).alias("bad"), F.count(F.when(F.col("kind") == "slot", 1)).alias("open"), F.count(F.lit(1)).alias("units"), F.max(F.when(sure, F.col("template"))).alias("beside"), F.max(F.when(sure, F.col("kind"))).alias("theirs"))
+    near = cut(bad.where("bad + open = units and open = 1 or (bad = units - 1 and bad > 0)"))
+    lone = first.where(~F.coalesce(sure, F.lit(False))).join(near, "doc_id").select("doc_id", "h", "kind", "beside", "theirs")
+    lone = lone.join(mined.select("h", F.col("template").alias("t")), "h")
+    used = lone.groupBy("t").agg(F.count(F.lit(1)).alias("alone"), F.min("beside").alias("b0"), F.max("beside").alias("b1"), F.max("theirs").alias("theirs"), F.max("kind").alias("kind"))
+    company = F.col("kind").isNull() & (F.col("alone") >= COMPANY_POSTS) & (F.col("b0") != F.col("b1"))
+    some = cut(used.where(company | ((F.col("kind") == "slot") & (F.col("alone") >= SLOT_POSTS))))
+    members = cut(mined.select("h", F.col("template").alias("t")).join(some, "t"))
+    total = members.join(counts, "h").groupBy("t").agg(F.sum("n").alias("n"))
+    enough = F.col("alone") >= F.col("n") * F.when(F.col("kind") == "slot", SLOT_SHARE).otherwise(COMPANY_SHARE)
+    more = members.join(total, "t").where(enough).select("h", F.when(F.col("kind") == "slot", "slots").otherwise(F.col("theirs")).alias("by_use"))
+    out = skew_lookup(first.drop("template"), "h", cut(more), counts=counts)
+    return out.select("doc_id", "h", "slots", F.when(F.col("kind").isNull() | (F.col("kind") == "slot"), F.coalesce("by_use", "kind")).otherwise(F.col("kind")).alias("kind"))
 
 
 def residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(`doc_id`, `kind`, `messages`) of each post that is residue; `kind` is that of most of its messages (ties: the first in
     the alphabet). Null, empty and emptied posts are not. Repeated rows of one id count as one post; other columns are
     ignored."""
-    rows = cut(units(docs, key, text))
-    counts = rows.groupBy("message").agg(F.count(F.lit(1)).alias("n"))
-    mined = cut(templates(counts))
-    # what templates with several open slots say around them; where the same is said with gaps or non-values, they apply
-    bones = mined.where("verdict in ('slots', 'slot') and skeleton <> ''").select("skeleton").distinct().withColumn("known", F.lit(True))
-    judged = mined.join(bones, "skeleton", "left").select("message", "verdict", F.coalesce("known", F.lit(False)).alias("known"))
-    table = judged.where("verdict is not null or known")
-    found = skew_lookup(rows, "message", table, counts=counts)
-    nil = F.col("message").contains(NIL)
-    kind = F.when(F.col("known") & (F.col("gap") | nil), F.lit("slots")).when(F.col("verdict") == "nils", "slots").otherwise(F.col("verdict"))
-    posts = found.withColumn("kind", kind).groupBy("doc_id").agg(
+    posts = _judged(docs, key, text).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("messages"),
         F.count("kind").alias("bad"),
         *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("error", "filler", "script", "slot", "slots")],
@@ -288,3 +396,13 @@ def residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     first = F.greatest("error", "filler", "script", F.col("slot") + F.col("slots"))
     name = F.when(F.col("error") == first, "error").when(F.col("filler") == first, "filler").when(F.col("script") == first, "script").otherwise("slots")
     return whole.select("doc_id", name.alias("kind"), "messages")
+
+
+def open_slots(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(`doc_id`, `messages`, `slots`) of each post that holds unresolved slots beside content of its own: how many of its messages
+    have some, and how many these are. Posts that are residue as a whole are not listed; other columns are ignored."""
+    posts = _judged(docs, key, text).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("all_"), F.count("kind").alias("bad"), F.count(F.when(F.col("kind") == "slot", 1)).alias("slot"),
+        F.count(F.when(F.col("slots") > 0, 1)).alias("messages"), F.sum("slots").alias("slots"),
+    )
+    return posts.where("slots > 0 and not (bad = all_ and (slot < all_ or all_ > 1))").select("doc_id", "messages", "slots")
