@@ -101,10 +101,13 @@ def skew_lookup(rows: DataFrame, key: str, table: DataFrame, *, counts: DataFram
 
     `counts` (`key`, `n`): rows per key, made by an aggregate with map-side combining. The HOT_KEYS most frequent
     keys with HOT_ROWS rows or more are looked up by a broadcast, so their rows are not shuffled; any key left has
-    at most a HOT_KEYS-th of all rows and goes through the shuffled join. Null keys match nothing; with how="left"
-    they are kept.
+    at most a HOT_KEYS-th of all rows and goes through the shuffled join. Where no key is that frequent, it is one join. Null
+    keys match nothing; with how="left" they are kept.
     """
-    hot = counts.where((F.col("n") >= HOT_ROWS) & F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key)
+    found = counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key).collect()
+    if not found:
+        return rows.join(table, key, how)
+    hot = rows.sparkSession.createDataFrame([r for r in found if r[0] is not None], counts.select(key).schema)
     hot_table = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
     flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     # a null key would gather in one partition of the shuffled left join: it goes the broadcast way too
