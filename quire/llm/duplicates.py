@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.common import skew_lookup
+from quire.common import skew_lookup, stored
 
 FIELDS = ["email", "fname", "lname", "phone1"]
 
@@ -48,7 +48,7 @@ def collisions(df: DataFrame, **how) -> DataFrame:
 
 def copy_pairs(df: DataFrame, *, key: str = "row_no", fields: list[str] | None = None) -> DataFrame:
     """(`row_a`, `row_b`): each row that is not the first of its record, with the first."""
-    rows = keyed(df, key, fields)
+    rows = stored(keyed(df, key, fields), "keyed")  # the forms are made once, though rows are looked at three times
     groups = rows.groupBy("h").agg(F.min("row_id").alias("row_a"), F.count(F.lit(1)).alias("n"))
     many = groups.where("n > 1")
     out = skew_lookup(rows, "h", many.select("h", "row_a"), counts=many.select("h", "n"), how="inner")

@@ -353,47 +353,55 @@ def templates(texts: DataFrame) -> DataFrame:
     return dealt.repartition(parallelism(spark), "leaf", "part").select("message").mapInArrow(_mine, _MINED)
 
 
-def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(`doc_id`, `h`, `slots`, `kind`) of each message; kind is null where it is content."""
+_KINDS = ("error", "filler", "script", "slots")
+
+
+def _posts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per post with a message: `doc_id`, `messages`, of how many kind (`error`, `filler`, `script`, `slots`) these are, `slot`
+    (sentences with one open slot that nothing else tells about), `with_slots` (messages with open slots), `open_slots`."""
     rows = stored(units(docs, key, text), "units")
-    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     mined = stored(templates(rows.where("message is not null").select("message")), "templates")
     # what templates with open slots say around them; where the same is said with gaps or non-values, they apply
     bones = mined.where("verdict in ('slots', 'slot')").select("bones").distinct().withColumn("known", F.lit(True))
     table = cut(mined.join(bones, "bones", "left").where("verdict is not null or known").select("h", "template", "verdict", "nil", F.coalesce("known", F.lit(False)).alias("known")))
     found = skew_lookup(rows.select("doc_id", "h", "gap", "slots"), "h", table, counts=counts)
     kind = F.when(F.col("known") & (F.col("gap") | F.col("nil")), F.lit("slots")).when(F.col("verdict") == "nils", "slots").otherwise(F.col("verdict"))
-    first = cut(found.select("doc_id", "h", "slots", "template", kind.alias("kind")))
-
-    # how templates are used: posts of which all messages but one kind of template are residue
-    sure = F.col("kind").isNotNull() & (F.col("kind") != "slot")
-    bad = first.groupBy("doc_id").agg(F.count(F.when(sure, 1)).alias("bad"), F.count(F.when(F.col("kind") == "slot", 1)).alias("open"), F.count(F.lit(1)).alias("units"), F.max(F.when(sure, F.col("template"))).alias("beside"), F.max(F.when(sure, F.col("kind"))).alias("theirs"))
-    near = cut(bad.where("bad + open = units and open = 1 or (bad = units - 1 and bad > 0)"))
-    lone = first.where(~F.coalesce(sure, F.lit(False))).join(near, "doc_id").select("doc_id", "h", "kind", "beside", "theirs")
-    lone = lone.join(mined.select("h", F.col("template").alias("t")), "h")
-    used = lone.groupBy("t").agg(F.count(F.lit(1)).alias("alone"), F.min("beside").alias("b0"), F.max("beside").alias("b1"), F.max("theirs").alias("theirs"), F.max("kind").alias("kind"))
+    first = stored(found.select("doc_id", "h", "slots", "template", kind.alias("kind")), "messages")
+    sure = F.coalesce(F.col("kind").isin(*_KINDS), F.lit(False))
+    number = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(k)
+    beside = [F.max(F.when(sure, F.col("template"))).alias("beside"), F.max(F.when(sure, F.col("kind"))).alias("theirs")]
+    posts = stored(first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("messages"), *[number(k) for k in (*_KINDS, "slot")], F.count(F.when(F.col("slots") > 0, 1)).alias("with_slots"), F.sum("slots").alias("open_slots"), *beside), "posts")
+
+    # how templates are used: posts of which all messages but one are residue
+    bad = sum((F.col(k) for k in _KINDS), F.lit(0))
+    near = posts.where((bad == F.col("messages") - 1) & ((bad > 0) | (F.col("slot") == 1))).select("doc_id", "beside", "theirs")
+    lone = cut(first.where(~sure).select("doc_id", "h", "kind").join(near, "doc_id"))
+    named = lone.join(mined.select("h", F.col("template").alias("t")), "h")
+    used = named.groupBy("t").agg(F.count(F.lit(1)).alias("alone"), F.min("beside").alias("b0"), F.max("beside").alias("b1"), F.max("theirs").alias("theirs"), F.max("kind").alias("kind"))
     company = F.col("kind").isNull() & (F.col("alone") >= COMPANY_POSTS) & (F.col("b0") != F.col("b1"))
     some = cut(used.where(company | ((F.col("kind") == "slot") & (F.col("alone") >= SLOT_POSTS))))
-    members = cut(mined.select("h", F.col("template").alias("t")).join(some, "t"))
-    total = members.join(counts, "h").groupBy("t").agg(F.sum("n").alias("n"))
-    enough = F.col("alone") >= F.col("n") * F.when(F.col("kind") == "slot", SLOT_SHARE).otherwise(COMPANY_SHARE)
-    more = members.join(total, "t").where(enough).select("h", F.when(F.col("kind") == "slot", "slots").otherwise(F.col("theirs")).alias("by_use"))
-    out = skew_lookup(first.drop("template"), "h", cut(more), counts=counts)
-    return out.select("doc_id", "h", "slots", F.when(F.col("kind").isNull() | (F.col("kind") == "slot"), F.coalesce("by_use", "kind")).otherwise(F.col("kind")).alias("kind"))
+    members = cut(mined.select("h", F.col("template").alias("t")).join(some, "t").join(counts, "h"))
+    enough = F.col("alone") >= F.col("total") * F.when(F.col("kind") == "slot", SLOT_SHARE).otherwise(COMPANY_SHARE)
+    more = members.join(members.groupBy("t").agg(F.sum("n").alias("total")), "t").where(enough)
+    more = cut(more.select("h", "n", F.when(F.col("kind") == "slot", "slots").otherwise(F.col("theirs")).alias("by_use")))
+    late = skew_lookup(first.where(~sure).select("doc_id", "h", F.col("kind").alias("was")), "h", more.select("h", "by_use"), counts=more.select("h", "n"), how="inner")
+    late = late.groupBy("doc_id").agg(*[F.count(F.when(F.col("by_use") == k, 1)).alias(f"more_{k}") for k in _KINDS], F.count("was").alias("less_slot"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    kinds = [(F.col(k) + none(f"more_{k}")).alias(k) for k in _KINDS]
+    return posts.join(late, "doc_id", "left").select("doc_id", "messages", *kinds, (F.col("slot") - none("less_slot")).alias("slot"), "with_slots", "open_slots")
+
+
+#: A single slot in one sentence may be talk about it; several such sentences, or one beside others of the kind, are not.
+_WHOLE = "error + filler + script + slots + slot = messages and (slot < messages or messages > 1)"
 
 
 def residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(`doc_id`, `kind`, `messages`) of each post that is residue; `kind` is that of most of its messages (ties: the first in
     the alphabet). Null, empty and emptied posts are not. Repeated rows of one id count as one post; other columns are
     ignored."""
-    posts = _judged(docs, key, text).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.count("kind").alias("bad"),
-        *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("error", "filler", "script", "slot", "slots")],
-    )
-    # a single slot in one sentence may be talk about it: several such sentences, or one beside others of the kind, are not
-    whole = posts.where("bad = messages and (slot < messages or messages > 1)")
-    first = F.greatest("error", "filler", "script", F.col("slot") + F.col("slots"))
+    whole = _posts(docs, key, text).where(_WHOLE).withColumn("slots", F.col("slots") + F.col("slot"))
+    first = F.greatest(*_KINDS)
     name = F.when(F.col("error") == first, "error").when(F.col("filler") == first, "filler").when(F.col("script") == first, "script").otherwise("slots")
     return whole.select("doc_id", name.alias("kind"), "messages")
 
@@ -401,8 +409,4 @@ def residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
 def open_slots(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(`doc_id`, `messages`, `slots`) of each post that holds unresolved slots beside content of its own: how many of its messages
     have some, and how many these are. Posts that are residue as a whole are not listed; other columns are ignored."""
-    posts = _judged(docs, key, text).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("all_"), F.count("kind").alias("bad"), F.count(F.when(F.col("kind") == "slot", 1)).alias("slot"),
-        F.count(F.when(F.col("slots") > 0, 1)).alias("messages"), F.sum("slots").alias("slots"),
-    )
-    return posts.where("slots > 0 and not (bad = all_ and (slot < all_ or all_ > 1))").select("doc_id", "messages", "slots")
+    return _posts(docs, key, text).where(f"open_slots > 0 and not ({_WHOLE})").select("doc_id", F.col("with_slots").alias("messages"), F.col("open_slots").alias("slots"))
