@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ _NILS = re.compile(r"(?<![\w'-])(?:undefined|null|None|NaN|nil|NULL|N/A|n/a|\(nu
 _NIL_PARTS = ("undefined", "null", "None", "NaN", "nil", "NULL", "N/A", "n/a", "[object Object]", "(none)", "#REF!", "#VALUE!", "??")
 _VARS = re.compile(r"https?://\S+|(?<!\w)/[\w.-]+(?:/[\w.-]+)+(?:[:(]\d+\)?:?)?|(?<!\w)(?=[\w.-]*\d)[\w-]+(?:\.[\w-]+)*|\b[\w-]+(?:\.[\w-]+)+\.(?:example|invalid|test|com|org|net)\b")
 _SENTENCE = re.compile(r"([.!?…])[\"')\]]*\s+")
-_GAP_SIGNS = ("  ", " ,", " .", " !", " ?", " :", " ;", ":.", "\t")
+_GAP_SIGNS = ("  ", " ,", " .", " !", " ?", " :", " ;", ":.", ":\n", ": \n", "\t")
 _GAP = re.compile(r"[ \t\xa0]{2,}|\s[,.!?:;](?=\s|$)|:\s*$|:\s*\.|^\s+\S")
 _TOKEN = re.compile(rf"{SLOT}|{NIL}|{re.escape(VAR)}|[^\W_]+(?:['’][^\W_]+)?|#\d+|[{{}}()]")
 
@@ -124,23 +125,27 @@ _MASKED, _PLAIN = _Words(True), _Words(False)
 def messages(text: str) -> list[tuple[str, bool]]:
     """Messages of a post, masked, and whether a gap in it may be an empty slot."""
     own = own_text(text)
+    gaps = any(x in own for x in _GAP_SIGNS) or own.rstrip()[-1:] == ":"
     # doubled white space throughout is a way of writing; a gap here and there is a slot without a value
-    doubled = "  " in own and len(re.findall(r"\S +(?=\S)", own)) <= 2 * len(re.findall(r"\S  +(?=\S)", own)) > 4
+    if gaps and "  " in own and len(re.findall(r"\S +(?=\S)", own)) <= 2 * len(re.findall(r"\S  +(?=\S)", own)) > 4:
+        gaps = False
     own = _SLOTS.sub(f" {SLOT} ", own)
     if any(n in own for n in _NIL_PARTS):
         own = _NILS.sub(f" {NIL} ", own)
-    out = []
+    out, masked = [], _MASKED.__getitem__
     for part in _SENTENCE.sub("\\1\n", own).split("\n"):
-        words = _PLAIN if part.startswith("#") else _MASKED
-        message = " ".join([t for t in [words[c] for c in part.split()] if t])
+        message = " ".join(filter(None, map(_PLAIN.__getitem__ if part[:1] == "#" else masked, part.split())))
         if message:
-            if "‹" in part:
-                part = part.replace(f" {SLOT} ", "x").replace(f" {NIL} ", "x")
-            gap = not doubled and (any(x in part for x in _GAP_SIGNS) or part.rstrip()[-1:] == ":") and bool(_GAP.search(part.strip()))
-            out.append((message, gap))
+            out.append((message, gaps and _gap(part)))
     return out
 
 
+def _gap(part: str) -> bool:
+    if "‹" in part:
+        part = part.replace(f" {SLOT} ", "x").replace(f" {NIL} ", "x")
+    return _GAP.search(part.strip()) is not None
+
+
 def skeleton(message: str) -> str:
     """What is constant in a message with slots."""
     return " ".join(t for t in message.split() if t not in (SLOT, NIL, VAR)) if "‹" in message else message
@@ -273,7 +278,7 @@ def classify(template: str) -> str | None:
     return None
 
 
-_UNITS = "doc_id {0}, h binary, gap boolean, slots int, message string"
+_UNITS = "doc_id {0}, h binary, gap boolean, slots int, leaf long, message string"
 
 
 def _hash(text: str) -> bytes:
@@ -281,31 +286,34 @@ def _hash(text: str) -> bytes:
 
 
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per message: `doc_id`, `h` (128 bits of the message), `gap`, `slots` (open ones in it), `message` (the text where a
-    task meets it first, else null)."""
+    """One row per message: `doc_id`, `h` (128 bits of the message), `gap`, `slots` (open ones in it), and, where a task meets it
+    first, else null, `leaf` (64 bits of the leaf of the tree it belongs to) and `message`, the text."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[str, bytes] = {}
         for batch in slices(batches):
-            at, h, gap, slots, message = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                got = messages(t) if t else []
-                at += [i] * len(got)
-                for m, g in got:
-                    known = hashes.get(m)
-                    message.append(None if known else m)
-                    if not known:
-                        if len(hashes) >= SEEN:
-                            hashes.clear()
-                        known = hashes[m] = _hash(m)
-                    h.append(known)
-                    gap.append(g)
-                    slots.append(m.count(SLOT))
+            got = [messages(t) if t else [] for t in batch.column(1).to_pylist()]
+            n = np.array([len(g) for g in got])
+            flat = pa.array([m for g in got for m, _ in g], pa.string()).dictionary_encode()
+            index, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+            if len(hashes) + len(distinct) > SEEN:
+                hashes.clear()
+            new = [m not in hashes for m in distinct]
+            for m, fresh in zip(distinct, new, strict=True):
+                if fresh:
+                    hashes[m] = _hash(m)
+            leaf = [int.from_bytes(_hash(Tree.path(m))[:8], "little", signed=True) if fresh else None for m, fresh in zip(distinct, new, strict=True)]
+            first = np.zeros(len(index), bool)
+            first[np.unique(index, return_index=True)[1]] = True
+            sent = pa.array(index, pa.int64(), mask=~(first & np.array(new, bool)[index])) if len(index) else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(h, pa.binary()), pa.array(gap, pa.bool_()), pa.array(slots, pa.int32()), pa.array(message, pa.string())],
-                ["doc_id", "h", "gap", "slots", "message"],
-            )
+                [
+                    batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([hashes[m] for m in distinct], pa.binary()).take(flat.indices), pa.array([g for x in got for _, g in x], pa.bool_()),
+                    pa.array([m.count(SLOT) for m in distinct], pa.int32()).take(flat.indices), pa.array(leaf, pa.int64()).take(sent), flat.dictionary.take(sent),
+                ],
+                ["doc_id", "h", "gap", "slots", "leaf", "message"],
+            )
 
     return spread(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, _UNITS.format(kind))
 
@@ -343,11 +351,8 @@ def _mined_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def templates(texts: DataFrame) -> DataFrame:
-    """(`h`, `template`, `verdict`, `nil`, `bones`) of each distinct message of `texts` (`message`)."""
-    spark = texts.sparkSession
-    path = F.array_join(F.slice(F.split("message", " ", DEPTH), 1, DEPTH - 1), " ")
-    path = F.regexp_replace(path, f"{SLOT}|{NIL}", VAR)
-    leaf = texts.select("message", F.xxhash64(F.length("message") - F.length(F.replace("message", F.lit(" "), F.lit(""))), path).alias("leaf"))
+    """(`h`, `template`, `verdict`, `nil`, `bones`) of each distinct message of `texts` (`leaf`, `message`)."""
+    spark, leaf = texts.sparkSession, texts
     large = leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF).select("leaf", F.ceil(F.col("n") / LEAF).alias("parts"))
     dealt = leaf.join(large, "leaf", "left").select("message", "leaf", F.coalesce(F.pmod(F.xxhash64("message"), "parts"), F.lit(0)).alias("part"))
     return dealt.repartition(parallelism(spark), "leaf", "part").select("message").mapInArrow(_mine, _MINED)
@@ -361,7 +366,7 @@ def _posts(docs: DataFrame, key: str, text: str) -> DataFrame:
     (sentences with one open slot that nothing else tells about), `with_slots` (messages with open slots), `open_slots`."""
     rows = stored(units(docs, key, text), "units")
     counts = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    mined = stored(templates(rows.where("message is not null").select("message")), "templates")
+    mined = stored(templates(rows.where("message is not null").select("leaf", "message")), "templates")
     # what templates with open slots say around them; where the same is said with gaps or non-values, they apply
     bones = mined.where("verdict in ('slots', 'slot')").select("bones").distinct().withColumn("known", F.lit(True))
     table = cut(mined.join(bones, "bones", "left").where("verdict is not null or known").select("h", "template", "verdict", "nil", F.coalesce("known", F.lit(False)).alias("known")))
