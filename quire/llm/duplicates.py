@@ -26,11 +26,16 @@ def canonical(fields: list[str]) -> Column:
     return F.concat_ws("\x01", F.array_sort(F.filter(values, lambda x: x != "")))
 
 
-def keyed(df: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:
-    """(`row_id`, `h`): `h` is md5 of the form with the check values, one binary of 28 bytes."""
-    text = df.select(F.col(key).alias("row_id"), canonical(fields or FIELDS).alias("t"))
+def record_key(fields: list[str]) -> Column:
+    """md5 of the record's form with the check values (a second hash and the length), one binary of 28 bytes."""
+    t = canonical(fields)
     number = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
-    return text.select("row_id", F.concat(F.unhex(F.md5("t")), number(F.xxhash64("t"), 16), number(F.length("t"), 8)).alias("h"))
+    return F.concat(F.unhex(F.md5(t)), number(F.xxhash64(t), 16), number(F.length(t), 8))
+
+
+def keyed(df: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:
+    """(`row_id`, `h`): the row and the key of its record."""
+    return df.select(F.col(key).alias("row_id"), record_key(fields or FIELDS).alias("h"))
 
 
 def copies(df: DataFrame, *, key: str = "row_no", fields: list[str] | None = None) -> DataFrame:

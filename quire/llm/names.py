@@ -10,6 +10,7 @@ the entities.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -18,11 +19,11 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.common import cut, parallelism, skew_lookup, slices, spread
-from quire.llm.duplicates import FIELDS, canonical
+from quire.llm.duplicates import FIELDS, record_key
 from quire.operators.hierarchy import hierarchy
 
 # Legal forms of organisations, which need not be given.
@@ -117,6 +118,8 @@ KNOWN_SHARE, KNOWN_FORMS = 0.0025, 3
 EDIT, SOUND, SHORT, NICK, INITIAL, MISSING = -4.0, -2.0, -2.0, -1.0, -3.0, -5.0
 #: By how much a candidate must beat the next where the variant leaves the given name open.
 MARGIN = 0.7
+#: Spellings of a block that are compared one by one in one task; larger blocks are dealt into parts, which meet in pairs.
+BLOCK = 256
 #: A spelling this much more frequent than typing errors of the candidate would be is no typing error.
 ERROR_SHARE, ERROR_ROWS = 0.2, 10
 
@@ -124,6 +127,7 @@ _DEGREE = re.compile(r"\b(?:ph\.? ?d|m\.? ?b\.? ?a|[bm]\.? ?(?:sc|eng|ed|phil)|[
 _SPECIAL = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ı": "i"})
 
 
+@lru_cache(maxsize=100_000)
 def fold(text: str) -> str:
     """Lower case without marks on letters."""
     text = unicodedata.normalize("NFKD", text.casefold().translate(_SPECIAL))
@@ -132,8 +136,11 @@ def fold(text: str) -> str:
 
 def org_words(company: str | None) -> list[str]:
     """Words of an organisation's name, sorted, without legal form."""
-    if not company:
-        return []
+    return list(_org_words(company)) if company else []
+
+
+@lru_cache(maxsize=100_000)
+def _org_words(company: str) -> tuple[str, ...]:
     if re.search(r"[a-z][A-Z]", company) and not re.search(r"\b[a-z]+[A-Z]{2,}", company) and not re.search(r"\b[a-z][A-Z]+\b", company) and re.search(r"[a-z]{2}[A-Z][a-z]{2}", company) and not re.search(r"[a-z][A-Z][a-z][A-Z]", company):
         company = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", company)  # words run together, told apart by their capitals
     text = re.sub(r"['’`´‘.*_]", "", fold(company))
@@ -144,13 +151,22 @@ def org_words(company: str | None) -> list[str]:
             if len(form) > 2 and out[0].endswith(form) and len(out[0]) - len(form) >= 8:
                 out[0] = out[0][: -len(form)]
                 break
-    return sorted(out)
+    return tuple(sorted(out))
 
 
+@lru_cache(maxsize=100_000)
 def _is_name(value: str | None) -> bool:
     return bool(value) and "@" not in value and sum(c.isdigit() for c in value) < 3 and any(c.isalpha() for c in value)
 
 
+@lru_cache(maxsize=100_000)
+def _value_words(value: str) -> tuple[str, ...]:
+    text = re.sub(r"(?<=\w)['’`´‘](?=\w)|[*_\"“”]", "", fold(value))
+    text = re.sub(r"(?<=\w)[-‐-―](?=\w)", "", text)
+    text = re.sub(r"(?<=\w\w\w)\.(?=\w{3})", "", text)  # a stop within a word
+    return tuple(w for w in re.split(r"[\W_]+", _DEGREE.sub(" ", text)) if w)
+
+
 def person_words(fname: str | None, lname: str | None, others: list[str | None] = []) -> list[str]:  # noqa: B006
     """Words of a person's name; values that stand in the wrong field (`others`) are used where a name field holds none."""
     values = [v for v in (fname, lname) if v and v.strip()]
@@ -158,13 +174,7 @@ def person_words(fname: str | None, lname: str | None, others: list[str | None]
     values = [v for v in values if _is_name(v)]
     if odd:
         values += [v for v in others if _is_name(v)]
-    words: list[str] = []
-    for v in values:
-        text = re.sub(r"(?<=\w)['’`´‘](?=\w)|[*_\"“”]", "", fold(v))
-        text = re.sub(r"(?<=\w)[-‐-―](?=\w)", "", text)
-        text = re.sub(r"(?<=\w\w\w)\.(?=\w{3})", "", text)  # a stop within a word
-        text = _DEGREE.sub(" ", text)
-        words += [w for w in re.split(r"[\W_]+", text) if w]
+    words = [w for v in values for w in _value_words(v)]
     full = [w for w in words if w not in TITLES]
     return full or words
 
@@ -178,25 +188,43 @@ def edits(a: str, b: str, most: int) -> int:
     if a == b:
         return 0
     # each letter that only one of them has takes an edit; that settles most comparisons
-    if abs(len(a) - len(b)) > most or len(letters(a) - letters(b)) > most or len(letters(b) - letters(a)) > most:
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    la, lb = letters(a), letters(b)
+    if len(la - lb) > most or len(lb - la) > most:
         return most + 1
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return max(len(a), len(b))
-    before, row = [], list(range(len(b) + 1))
+    if most == 1:  # what is left must be one letter replaced, or two swapped
+        return 1 if len(a) == len(b) == 1 or (len(a) == len(b) == 2 and a[0] == b[1] and a[1] == b[0]) else 2
+    # only cells near the diagonal can stay within `most`
+    far, width = most + 1, len(b)
+    before, row = [], [*range(most + 1), *[far] * max(0, width - most)][: width + 1]
     for i, x in enumerate(a, 1):
-        last, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            v = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, last[j - 2] + 1)
-            row.append(v)
-        if min(row) > most:
+        last, before = before, row
+        row = [far] * (width + 1)
+        low, high = max(1, i - most), min(width, i + most)
+        if i <= most:
+            row[0] = i
+        least = row[0]
+        for j in range(low, high + 1):
+            y = b[j - 1]
+            v = before[j - 1] if x == y else 1 + min(before[j], row[j - 1], before[j - 1])
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and last[j - 2] + 1 < v:
+                v = last[j - 2] + 1
+            row[j] = v
+            if v < least:
+                least = v
+        if least > most:
             return most + 1
-    return row[-1]
+    return min(row[width], most + 1)
 
 
 _SOUNDS = (("ph", "f"), ("qu", "kv"), ("kw", "kv"), ("x", "ks"), ("ck", "k"), ("c", "k"), ("q", "k"), ("z", "s"), ("y", "i"), ("w", "v"), ("oe", "o"), ("ue", "u"), ("ae", "a"))
@@ -218,8 +246,8 @@ def typed(a: str, b: str) -> float | None:
     most = 0 if short < 4 else 1 if short < 6 else 2 if short < 12 else 3
     n = edits(a, b, most)
     if n > most:
-        n = edits(sound(a), sound(b), 0 if short < 4 else 1)
-        return SOUND * 2 + EDIT * n if n <= 1 and short >= 5 else None
+        n = edits(sound(a), sound(b), 1) if short >= 5 else 2
+        return SOUND * 2 + EDIT * n if n <= 1 else None
     return SOUND * n if sound(a) == sound(b) else EDIT * n
 
 
@@ -231,6 +259,73 @@ def abbreviates(a: str, b: str) -> bool:
     return all(c in left for c in a)
 
 
+def _matched(ra: list[str], rb: list[str], common: frozenset[str]) -> float | None:
+    """Best likelihood of words `ra` written one each for words `rb`, of which one at most may be shortened without being common;
+    over subsets of `rb`, so the number of words is no matter. None below 5 * EDIT."""
+    best: dict[tuple[int, bool], float] = {(0, False): 0.0}
+    for x in ra:
+        scores = []
+        for j, y in enumerate(rb):
+            s, shortened = typed(x, y) if not (x in common and y in common) else None, False
+            if s is None and (abbreviates(x, y) and y in common or abbreviates(y, x) and x in common):
+                s = SHORT
+            elif s is None and (abbreviates(x, y) and len(x) <= 6 and len(y) >= 5 or abbreviates(y, x) and len(y) <= 6 and len(x) >= 5):
+                s, shortened = 2 * SHORT, True  # a word that is not known for being shortened, one at most
+            if s is not None:
+                scores.append((1 << j, s, shortened))
+        after: dict[tuple[int, bool], float] = {}
+        for (used, once), total in best.items():
+            for bit, s, shortened in scores:
+                if not used & bit and not (once and shortened) and total + s >= 5 * EDIT:
+                    k = (used | bit, once or shortened)
+                    if k not in after or after[k] < total + s:
+                        after[k] = total + s
+        if not after:
+            return None
+        best = after
+    return max(best.values())
+
+
+def _joined(few: list[str], many: list[str]) -> float | None:
+    """Best likelihood of two lists of words whose letters run together alike, in whatever order each list is joined.
+
+    Both texts grow word by word, the shorter one first; what cannot stay within the errors that `typed` allows is left."""
+    size = max(sum(map(len, few)), sum(map(len, many)))
+    best = None
+
+    def near(s: str, t: str) -> bool:
+        """Whether `s` is within 3 edits of a beginning of `t`."""
+        row = list(range(len(s) + 1))
+        low = row[-1]
+        for i, y in enumerate(t[: len(s) + 3], 1):
+            before, row = row, [i]
+            for j, x in enumerate(s, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+            low = min(low, row[-1])
+        return low <= 4  # a swap of neighbours counts twice here
+
+    def grow(a: str, left: list[str], b: str, right: list[str]) -> None:
+        nonlocal best
+        if not left and not right:
+            for s in (typed(a, b),):
+                if s is not None and (best is None or s > best):
+                    best = s
+            return
+        take_left = bool(left) and (len(a) <= len(b) or not right)
+        for i, w in enumerate(left if take_left else right):
+            if take_left:
+                x, y, rest, other = a + w, b, left[:i] + left[i + 1 :], right
+            else:
+                x, y, rest, other = a, b + w, left, right[:i] + right[i + 1 :]
+            s, t = (x, y) if len(x) <= len(y) else (y, x)
+            if near(s, t) or near(t[: len(s)], s):
+                grow(x, rest, y, other)
+
+    if size and abs(sum(map(len, few)) - sum(map(len, many))) <= 3:
+        grow("", few, "", many)
+    return best
+
+
 def org_likelihood(a: list[str], b: list[str], common: frozenset[str]) -> float | None:
     """Log likelihood that words `a` were written for organisation `b`."""
     ra, rb = list(a), list(b)
@@ -240,32 +335,23 @@ def org_likelihood(a: list[str], b: list[str], common: frozenset[str]) -> float
             rb.remove(w)
     if not ra and not rb:
         return 0.0
-    if len(ra) == len(rb) and len(ra) <= 4:
-        best = None
-        for p in permutations(rb):
-            total, shortened = 0.0, False
-            for x, y in zip(ra, p, strict=True):
-                s = typed(x, y) if not (x in common and y in common) else None
-                if s is None and (abbreviates(x, y) and y in common or abbreviates(y, x) and x in common):
-                    s = SHORT
-                elif s is None and not shortened and (abbreviates(x, y) and len(x) <= 6 and len(y) >= 5 or abbreviates(y, x) and len(y) <= 6 and len(x) >= 5):
-                    s, shortened = 2 * SHORT, True  # a word that is not known for being shortened, one at most
-                if s is None:
-                    total = None
-                    break
-                total += s
-            if total is not None and (best is None or total > best):
-                best = total
-        if best is not None and best >= 5 * EDIT:
+    if len(ra) == len(rb):
+        best = _matched(ra, rb, common)
+        if best is not None:
             return best
-    if 0 < len(ra) <= 4 and 0 < len(rb) <= 4 and len(ra) != len(rb):  # words run together or torn apart
-        best = None
+    if ra and rb and len(ra) != len(rb):  # words run together or torn apart
         few, many = (ra, rb) if len(ra) < len(rb) else (rb, ra)
-        for p in permutations(many):
-            for q in permutations(few):
-                s = typed("".join(q), "".join(p))
-                if s is not None and (best is None or s > best):
-                    best = s
+        if abs(sum(map(len, few)) - sum(map(len, many))) > 3:
+            return None
+        if len(many) > 4:
+            best = _joined(few, many)
+        else:
+            best = None
+            for p in permutations(many):
+                for q in permutations(few):
+                    s = typed("".join(q), "".join(p))
+                    if s is not None and (best is None or s > best):
+                        best = s
         return best if best is None else best - 1.0
     return None
 
@@ -331,7 +417,7 @@ def _common(forms: DataFrame) -> frozenset[str]:
 class Person:
     """A spelling of a person's name, split by what is known of given names."""
 
-    __slots__ = ("given", "initials", "family", "unsure", "words")
+    __slots__ = ("given", "initials", "family", "splits", "unsure", "words")
 
     def __init__(self, words: list[str], given: frozenset[str]):
         full = [w for w in words if len(w) > 1 and w not in PARTICLES]
@@ -342,6 +428,12 @@ class Person:
         if self.unsure:  # a family name that is also a given name: the last word, or any other where names are compared
             self.family = [self.given.pop()]
         self.words = full
+        # a given name with an error looks like a family name: each word may be the family name, the others given names
+        self.splits = [("".join(self.family), self.given)] if self.family else []
+        if len(self.family) > 1:
+            self.splits += [(w, self.given + [x for x in self.family if x is not w]) for w in self.family]
+        if self.unsure:
+            self.splits += [(w, [x for x in self.words if x is not w]) for w in self.given]
 
     def rank(self) -> int:
         """How complete the spelling is."""
@@ -389,26 +481,23 @@ def _given(a: list[str], ia: list[str], b: list[str], ib: list[str]) -> tuple[fl
 def person_likelihood(a: Person, b: Person) -> tuple[float, bool] | None:
     """Log likelihood that `a` was written for `b`, both at one organisation, and whether that leaves open who is meant."""
     best = None
-    # a given name with an error looks like a family name: try each word as the family name, the others as given names
-    splits = lambda p: [(p.family, p.given)] + ([([w], p.given + [x for x in p.family if x is not w]) for w in p.family] if len(p.family) > 1 else []) + ([([w], [x for x in p.words if x is not w]) for w in p.given] if p.unsure else [])
-    for fa, ga in splits(a):
-        for fb, gb in splits(b):
-            if not fa or not fb:
-                continue
-            s = typed("".join(fa), "".join(fb))
+    for fa, ga in a.splits:
+        for fb, gb in b.splits:
+            s = typed(fa, fb)
             if s is None:
                 continue
             g = _given(ga, a.initials, gb, b.initials)
-            if g is not None and s < EDIT and (g[1] or g[0] == NICK) and "".join(fa)[:2] != "".join(fb)[:2]:
+            if g is not None and s < EDIT and (g[1] or g[0] == NICK) and fa[:2] != fb[:2]:
                 continue  # too little of the name is as it should be
             if g is not None and (best is None or s + g[0] > best[0]):
                 best = (s + g[0], g[1])
     return best
 
 
-def _less(word: str) -> set[str]:
-    """The word and all it becomes by leaving out one letter."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+@lru_cache(maxsize=200_000)
+def _less(word: str) -> frozenset[str]:
+    """Keys of the word and of all it becomes by leaving out one letter."""
+    return frozenset(["-" + word, *("-" + word[:i] + word[i + 1 :] for i in range(len(word)))])
 
 
 def org_keys(words: list[str], common: frozenset[str]) -> set[str]:
@@ -416,7 +505,7 @@ def org_keys(words: list[str], common: frozenset[str]) -> set[str]:
     keys = {"=" + " ".join(words)}
     for w in own[:2]:
         if len(w) >= 7:
-            keys |= {"-" + k for k in _less(w)}
+            keys |= _less(w)
     for w in own:
         if len(w) >= 4:
             keys |= {f"~{sound(w)}|{x[0]}" for x in words if x != w}
@@ -431,7 +520,7 @@ def person_keys(p: Person) -> set[str]:
     keys = set()
     for w in {*p.family, "".join(p.family), *(p.given if p.unsure else ())}:
         if len(w) >= 4:
-            keys |= {"-" + k for k in _less(w)}
+            keys |= _less(w)
             keys.add("~" + sound(w))
             for g in [x for x in p.words if x != w][:1] if p.unsure else p.given[:1]:
                 for f in _FORMAL.get(g, frozenset([g])):
@@ -441,32 +530,33 @@ def person_keys(p: Person) -> set[str]:
     return keys
 
 
+def _forms(rows: list[tuple[str, int]], kind: str, words: frozenset[str]) -> list[tuple[tuple, str, int, object]]:
+    """(place in the order of canonical forms, spelling, count, parsed), the most canonical first."""
+    if kind == "org":
+        return sorted([((-n, -len(f), f), f, n, f.split(" ")) for f, n in rows], key=lambda x: x[0])
+    people = [(f, n, Person(f.split(" "), words)) for f, n in rows]
+    return sorted([((-x.rank(), -n, -len(f), f), f, n, x) for f, n, x in people], key=lambda x: x[0])
+
+
+def _fit(kind: str, words: frozenset[str], n: int, x: object, m: int, y: object) -> tuple[float, bool] | None:
+    """Posterior of `x` (`n` rows) as a variant of `y` (`m` rows), and whether it leaves open who is meant; None: it is none."""
+    got = org_likelihood(x, y, words) if kind == "org" else person_likelihood(x, y)
+    if got is None:
+        return None
+    s, open_ = (got, False) if kind == "org" else got
+    return None if s <= EDIT and not open_ and n > max(ERROR_ROWS, ERROR_SHARE * m) else (s + math.log(m), open_)
+
+
 def _attach_block(rows: list[tuple[str, int]], kind: str, words: frozenset[str]) -> Iterator[tuple[str, str, float]]:
     """Within a block of spellings with counts: (variant, candidate, posterior)."""
-    import math
-
-    if kind == "org":
-        forms = [(f, n, f.split(" ")) for f, n in rows]
-        forms.sort(key=lambda x: (-x[1], -len(x[0]), x[0]))
-    else:
-        forms = [(f, n, Person(f.split(" "), words)) for f, n in rows]
-        forms.sort(key=lambda x: (-x[2].rank(), -x[1], -len(x[0]), x[0]))
     leaders: list[tuple[str, int, object]] = []
     others: list[tuple[str, int, object]] = []
 
     def fits(candidates: list, n: int, x: object) -> list[tuple[float, bool, str]]:
-        found = []
-        for g, m, y in candidates:
-            got = org_likelihood(x, y, words) if kind == "org" else person_likelihood(x, y)
-            if got is None:
-                continue
-            s, open_ = (got, False) if kind == "org" else got
-            if s <= EDIT and not open_ and n > max(ERROR_ROWS, ERROR_SHARE * m):
-                continue
-            found.append((s + math.log(m), open_, g))
+        found = [(*got, g) for g, m, y in candidates if (got := _fit(kind, words, n, x, m, y)) is not None]
         return sorted(found, key=lambda t: (-t[0], t[2]))
 
-    for f, n, x in forms:
+    for _, f, n, x in _forms(rows, kind, words):
         found = fits(leaders, n, x)
         if not found:  # too far from any canonical form, but maybe a variant of a variant
             found = [t for t in fits(others, n, x) if not t[1]]
@@ -479,48 +569,109 @@ def _attach_block(rows: list[tuple[str, int]], kind: str, words: frozenset[str])
         yield f, found[0][2], found[0][0]
 
 
-def _attach(forms: DataFrame, kind: str, words: frozenset[str]) -> DataFrame:
+def _attach_parts(rows: list[tuple[str, int, int, bool | None]], crossed: bool, kind: str, words: frozenset[str]) -> Iterator[tuple[str, str, float, bool]]:
+    """Of two parts of a large block (spelling, count, part, leads), or of one with itself: (variant, candidate, posterior, open).
+
+    Where `leads` is null, the best candidate of each variant that says who is meant, and the best that leaves it open, out of all
+    more canonical spellings. Else the two best candidates of each spelling that does not lead, out of those that do."""
+    known = {f: (p, leads) for f, _, p, leads in rows}
+    before: list[tuple[str, int, object]] = []
+    for _, f, n, x in _forms([(f, n) for f, n, _, _ in rows], kind, words):
+        p, leads = known[f]
+        if not leads:
+            found = [(*got, g) for g, m, y in before if not (crossed and known[g][0] == p) and (got := _fit(kind, words, n, x, m, y)) is not None]
+            found.sort(key=lambda t: (-t[0], t[2]))
+            if leads is None:
+                found = [*[t for t in found if not t[1]][:1], *[t for t in found if t[1]][:1]]
+            for score, open_, g in found[:2]:
+                yield f, g, score, open_
+        if leads is not False:
+            before.append((f, n, x))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], width: int = 2, most: int | None = None) -> Iterator[tuple[tuple, list[list], bool]]:
+    """Runs of equal first `width` columns of sorted batches: (these, the other columns, whether the run is cut off at `most` rows)."""
+    now, rows, part = None, [], False
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != now:
+                if rows:
+                    yield now, rows, part
+                now, rows, part = row[:width], [], False
+            elif most and len(rows) >= most:
+                yield now, rows, True
+                rows, part = [], True
+            rows.append(row[width:])
+    if rows:
+        yield now, rows, part
+
+
+def _attach(forms: DataFrame, kind: str, words: frozenset[str], block: int = BLOCK) -> DataFrame:
     """(`org`, `form`, `parent`): the candidate each variant of `forms` (`org`, `form`, `n`) goes to."""
-    held = forms.sparkSession.sparkContext.broadcast(words)
+    spark = forms.sparkSession
+    held = spark.sparkContext.broadcast(words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for batch in batches:
-            orgs, texts, ns = (c.to_pylist() for c in batch.columns)
-            org, key, form, n = [], [], [], []
-            for o, f, m in zip(orgs, texts, ns, strict=True):
-                got = org_keys(f.split(" "), known) if kind == "org" else person_keys(Person(f.split(" "), known))
-                for k in sorted(got):
-                    org.append(o)
-                    key.append(k)
-                    form.append(f)
-                    n.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(org, pa.int64()), pa.array(key, pa.string()), pa.array(form, pa.string()), pa.array(n, pa.int64())], ["org", "key", "form", "n"])
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        out: list[tuple[int, str, str, float]] = []
-        now, rows = None, []
-        for batch in map(_shared, batches):
-            for o, k, f, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (o, k) != now:
-                    if len(rows) > 1:
-                        out += [(now[0], *x) for x in _attach_block(rows, kind, known)]
-                    now, rows = (o, k), []
-                rows.append((f, n))
+            got = [sorted(org_keys(f.split(" "), known) if kind == "org" else person_keys(Person(f.split(" "), known))) for f in batch.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(got)), [len(k) for k in got]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([k for x in got for k in x], pa.string()), batch.column(1).take(at), batch.column(2).take(at)], ["org", "key", "form", "n"])
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of blocks of at most `block` spellings; the spellings of larger ones pass through, with their key."""
+        known, out = held.value, []
+        for (org, key), rows, part in _grouped(map(_shared, batches), most=block):
+            if part or len(rows) > block:
+                out += [(org, f, None, None, key, n) for f, n in rows]
+            elif len(rows) > 1:
+                out += [(org, *x, None, None) for x in _attach_block(rows, kind, known)]
+            if len(out) > 10_000:
+                yield _columns(out, small_schema)
+                out = []
+        if out:
+            yield _columns(out, small_schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, out = held.value, []
+        for (org, key, i, j), rows, _ in _grouped(batches, 4):
+            out += [(org, key, *x) for x in _attach_parts(rows, i != j, kind, known)]
             if len(out) > 10_000:
-                yield _links(out)
+                yield _columns(out, parts_schema)
                 out = []
-        if len(rows) > 1:
-            out += [(now[0], *x) for x in _attach_block(rows, kind, known)]
         if out:
-            yield _links(out)
+            yield _columns(out, parts_schema)
 
+    small_schema = {"org": pa.int64(), "form": pa.string(), "parent": pa.string(), "score": pa.float64(), "key": pa.int64(), "n": pa.int64()}
+    parts_schema = {"org": pa.int64(), "key": pa.int64(), "form": pa.string(), "parent": pa.string(), "score": pa.float64(), "open": pa.bool_()}
     keyed = forms.select("org", "form", "n").mapInArrow(emit, "org long, key string, form string, n long")
     # sorted by number, which is short; rows of two keys that share one part where the organisation changes
     numbered = keyed.select("org", F.xxhash64("org", "key").alias("key"), "form", "n")
-    blocks = numbered.repartition(parallelism(forms.sparkSession), "key").sortWithinPartitions("key", "org")
-    links = blocks.mapInArrow(block, "org long, form string, parent string, score double")
+    blocks = numbered.repartition(parallelism(spark), "key").sortWithinPartitions("key", "org")
+    done = cut(blocks.mapInArrow(small, "org long, form string, parent string, score double, key long, n long"))
+    links = done.where("parent is not null").select("org", "form", "parent", "score")
+    large = done.where("parent is null").select("org", "key", "form", "n")
+    if not large.isEmpty():
+        place = ["org", "key", "form"]
+        sizes = large.groupBy("org", "key").agg(F.count(F.lit(1)).alias("of")).withColumn("of", F.ceil(F.col("of") / block).cast("int"))
+        placed = cut(large.join(sizes, ["org", "key"]).withColumn("p", F.pmod(F.xxhash64("form"), F.col("of")).cast("int")))
+
+        def compared(rows: DataFrame) -> DataFrame:
+            # every pair of parts meets in one task, so all pairs are compared, and no task compares more than two parts
+            dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("q")).select("org", "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "form", "n", "p", "leads")
+            tasks = dealt.repartition(4 * parallelism(spark), "org", "key", "i", "j").sortWithinPartitions("org", "key", "i", "j")
+            return cut(tasks.mapInArrow(parts, "org long, key long, form string, parent string, score double, open boolean"))
+
+        # as within a small block: what is sure first; what is open goes to a spelling that is nobody's variant
+        best = F.max(F.when(~F.col("open"), F.struct("score", "parent"))).alias("b")
+        first = cut(compared(placed.withColumn("leads", F.lit(None).cast("boolean"))).groupBy(*place).agg(best))
+        sure = first.where("b is not null").select("org", "form", F.col("b.parent").alias("parent"), F.col("b.score").alias("score"))
+        roles = placed.join(first.withColumn("hangs", F.lit(True)), place, "left").where("b is null").drop("b").withColumn("leads", F.col("hangs").isNull()).drop("hangs")
+        found = compared(roles)
+        top = found.groupBy(*place).agg(F.max(F.struct("score", "parent", "open")).alias("b"))
+        next_ = found.join(top, place).where("parent <> b.parent").groupBy(*place).agg(F.max("score").alias("next"))
+        clear = top.join(next_, place, "left").where(~F.col("b.open") | F.col("next").isNull() | (F.col("b.score") - F.col("next") >= MARGIN))
+        links = links.unionByName(sure).unionByName(clear.select("org", "form", F.col("b.parent").alias("parent"), F.col("b.score").alias("score")))
     return links.groupBy("org", "form").agg(F.max_by("parent", F.struct("score", "parent")).alias("parent"))
 
 
@@ -534,42 +685,46 @@ def _shared(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(~alone))
 
 
-def _links(rows: list[tuple[int, str, str, float]]) -> pa.RecordBatch:
-    o, f, p, s = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(f, pa.string()), pa.array(p, pa.string()), pa.array(s, pa.float64())], ["org", "form", "parent", "score"])
+def _columns(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.values(), strict=True)], list(schema))
 
 
-def _number(*columns) -> Column:
-    """63-bit number of a spelling. Of 10^6 spellings, some two share one with a probability of about 10^-7."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+def _numbered(forms: DataFrame) -> DataFrame:
+    """`forms` with `id`, a number of their own; written, so that it stays the same."""
+    return cut(forms.withColumn("id", F.monotonically_increasing_id() + 1))
 
 
 def _roots(forms: DataFrame, links: DataFrame) -> DataFrame:
-    """(`org`, `form`, `root`): number of the entity of each spelling."""
-    edges = cut(forms.join(links, ["org", "form"], "left").select("org", "form", _number("org", "form").alias("id"), F.when(F.col("parent").isNotNull(), _number("org", "parent")).alias("up")))
-    found = hierarchy(edges, id_col="id", parent_col="up").select("id", F.col("root_id").alias("root"))
-    return edges.join(found, "id").select("org", "form", "root")
+    """(`org`, `form`, `root`): number of the entity of each spelling of `forms` (`org`, `form`, `id`), which is that of its most
+    canonical spelling. Only spellings that are linked go through the forest."""
+    ids = forms.select("org", "form", "id")
+    up = ids.select("org", F.col("form").alias("parent"), F.col("id").alias("up"))
+    edges = cut(links.join(ids, ["org", "form"]).join(up, ["org", "parent"]).select("id", "up"))
+    nodes = edges.unionByName(edges.select(F.col("up").alias("id"), F.lit(None).cast("long").alias("up")))
+    found = hierarchy(nodes, id_col="id", parent_col="up").select("id", F.col("root_id").alias("root"))
+    return ids.join(found, "id", "left").select("org", "form", F.coalesce("root", "id").alias("root"))
 
 
 def parsed(df: DataFrame, key: str) -> DataFrame:
-    """(`row_id`, `person`, `company`, `named`, `first`): words of person and organisation as one string each; whether a person is
-    named; how many of the person's words stand in the field of given names, null where not both fields hold some."""
+    """(`row_id`, `person`, `company`, `named`, `first`, `copy`): words of person and organisation as one string each; whether a
+    person is named; how many of the person's words stand in the field of given names, null where not both fields hold some;
+    the key of the record by which written copies are told."""
     kind = df.schema[key].dataType.simpleString()
     field = lambda v: person_words(v, None) if _is_name(v) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fn, ln, co, em, ph = (c.to_pylist() for c in batch.columns[1:])
+            fn, ln, co, em, ph = (c.to_pylist() for c in batch.columns[1:6])
             people = [person_words(a, b, [e, p]) for a, b, e, p in zip(fn, ln, em, ph, strict=True)]
             named = [any(c.isalnum() for c in (a or "") + (b or "")) for a, b in zip(fn, ln, strict=True)]
-            first = [n if 0 < (n := len(field(a))) < len(w) and field(a) + field(b) == w else None for a, b, w in zip(fn, ln, people, strict=True)]
+            first = [n if 0 < (n := len(x := field(a))) < len(w) and x + field(b) == w else None for a, b, w in zip(fn, ln, people, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([" ".join(w) for w in people], pa.string()), pa.array([" ".join(org_words(c)) for c in co], pa.string()), pa.array(named, pa.bool_()), pa.array(first, pa.int32())],
-                ["row_id", "person", "company", "named", "first"],
+                [batch.column(0), pa.array([" ".join(w) for w in people], pa.string()), pa.array([" ".join(org_words(c)) for c in co], pa.string()), pa.array(named, pa.bool_()), pa.array(first, pa.int32()), batch.column(6)],
+                ["row_id", "person", "company", "named", "first", "copy"],
             )
 
     cols = [F.col(c).cast("string").alias(c) for c in ("fname", "lname", "company", "email", "phone1")]
-    return spread(df.select(F.col(key).alias("row_id"), *cols)).mapInArrow(run, f"row_id {kind}, person string, company string, named boolean, first int")
+    return spread(df.select(F.col(key).alias("row_id"), *cols, record_key(FIELDS).alias("copy"))).mapInArrow(run, f"row_id {kind}, person string, company string, named boolean, first int, copy binary")
 
 
 def _mined(rows: DataFrame) -> frozenset[str]:
@@ -585,38 +740,50 @@ def _mined(rows: DataFrame) -> frozenset[str]:
     return frozenset(r.w for r in many.collect())
 
 
-def entities(df: DataFrame, *, key: str = "row_no") -> DataFrame:
-    """(`row_id`, `org_id`, `person_id`) of each row whose organisation is given; `person_id` 0 where no person is named.
+def entities(df: DataFrame, *, key: str = "row_no", block: int = BLOCK) -> DataFrame:
+    """(`row_id`, `org_id`, `person_id`, `copy`) of each row whose organisation is given; `person_id` 0 where no person is named;
+    `copy` is equal for rows that are written copies of each other.
 
     Rows without an organisation, or that name a person without any family name, are left out: who is meant is open. Null
     and blank fields count as missing, empty tables give no rows, repeated rows get the same ids.
     """
     rows = cut(parsed(df, key).where("company <> '' and (person <> '' or not named)"))
-    spark = df.sparkSession
-    org_forms = cut(rows.groupBy(F.col("company").alias("form")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("org"), "form", "n"))
+    org_forms = _numbered(rows.groupBy(F.col("company").alias("form")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("org"), "form", "n"))
     common = _common(org_forms)
-    orgs = _roots(org_forms, _attach(org_forms, "org", common))
+    orgs = _roots(org_forms, _attach(org_forms, "org", common, block))
     counts = org_forms.select(F.col("form").alias("company"), "n")
     rows = skew_lookup(rows, "company", orgs.select(F.col("form").alias("company"), F.col("root").alias("org")), counts=counts, how="inner")
     rows = cut(rows)
     given = _mined(rows)
-    forms = cut(rows.where("person <> ''").groupBy("org", F.col("person").alias("form")).agg(F.count(F.lit(1)).alias("n")))
-    roots = _roots(forms, _attach(forms, "person", given)).select(F.struct("org", "form").alias("k"), "root")
-    who = skew_lookup(rows.select("row_id", "org", "person", F.struct("org", F.col("person").alias("form")).alias("k")), "k", roots, counts=forms.select(F.struct("org", "form").alias("k"), "n"))
-    return who.select("row_id", F.col("org").alias("org_id"), F.when(F.col("person") == "", F.lit(0)).otherwise(F.col("root")).alias("person_id"))
-
-
-def entity_pairs(df: DataFrame, *, key: str = "row_no", block: int = 1000) -> DataFrame:
+    forms = _numbered(rows.where("person <> ''").groupBy("org", F.col("person").alias("form")).agg(F.count(F.lit(1)).alias("n")))
+    roots = _roots(forms, _attach(forms, "person", given, block)).select(F.struct("org", "form").alias("k"), "root")
+    named = rows.where("person <> ''").select("row_id", "org", "copy", F.struct("org", F.col("person").alias("form")).alias("k"))
+    who = skew_lookup(named, "k", roots, counts=forms.select(F.struct("org", "form").alias("k"), "n"), how="inner")
+    who = who.select("row_id", F.col("org").alias("org_id"), F.col("root").alias("person_id"), "copy")
+    return who.unionByName(rows.where("person = ''").select("row_id", F.col("org").alias("org_id"), F.lit(0).cast("long").alias("person_id"), "copy"))
+
+
+def linked(df: DataFrame, *, key: str = "row_no") -> DataFrame:
+    """`entities` with `links`, the number of rows each is linked to: those of its entity that are no written copies of it."""
+    rows = cut(entities(df, key=key).withColumn("k", F.struct("org_id", "person_id")))
+    same = cut(rows.groupBy("k", "copy").agg(F.count(F.lit(1)).alias("same")))
+    whole = same.groupBy("k").agg(F.sum("same").alias("n"))
+    table = same.withColumn("c", F.struct("k", "copy")).select("c", F.col("same").alias("n"))
+    out = skew_lookup(rows, "k", whole.withColumnRenamed("n", "whole"), counts=whole, how="inner")
+    out = skew_lookup(out.withColumn("c", F.struct("k", "copy")), "c", table.withColumnRenamed("n", "same"), counts=table, how="inner")
+    return out.select("row_id", "org_id", "person_id", (F.col("whole") - F.col("same")).alias("links"))
+
+
+def entity_pairs(df: DataFrame, *, key: str = "row_no", part: int = 1000) -> DataFrame:
     """(`row_a`, `row_b`), `row_a` < `row_b`: all pairs of rows of one entity that are not written copies of each other.
 
-    Large entities are dealt into blocks of about `block` rows, and each task makes the pairs of two blocks.
+    Large entities are dealt into parts of about `part` rows; a key of the join is a pair of parts, so it has the rows of two.
     """
-    copy = df.select(F.col(key).alias("row_id"), F.xxhash64(canonical(FIELDS)).alias("copy"))
-    rows = cut(entities(df, key=key).join(copy, "row_id"))
-    sizes = rows.groupBy("org_id", "person_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    member = rows.join(sizes, ["org_id", "person_id"]).select("org_id", "person_id", "row_id", "copy", parts.alias("parts"))
-    left = member.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int"))
-    right = member.select("org_id", "person_id", F.col("row_id").alias("row_b"), F.col("copy").alias("copy_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = left.join(right, ["org_id", "person_id", "part"])
-    return both.where("row_id < row_b and copy <> copy_b").select(F.col("row_id").alias("row_a"), "row_b")
+    rows = cut(entities(df, key=key).select("row_id", F.struct("org_id", "person_id").alias("k"), "copy"))
+    sizes = cut(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    parts = sizes.select("k", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    member = skew_lookup(rows, "k", parts, counts=sizes, how="inner").withColumn("p", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int"))
+    left = member.select("k", F.col("p").alias("i"), F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("j"), F.col("row_id").alias("a"), F.col("copy").alias("copy_a"))
+    right = member.select("k", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("i"), F.col("p").alias("j"), F.col("row_id").alias("b"), F.col("copy").alias("copy_b"))
+    both = left.join(right, ["k", "i", "j"]).where("(i < j or a < b) and copy_a <> copy_b")
+    return both.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))

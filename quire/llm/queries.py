@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.entities(table(spark, sf_dir, "customers"))
+    return names.linked(table(spark, sf_dir, "customers"))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
