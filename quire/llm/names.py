@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import permutations
 
 import numpy as np
@@ -120,6 +121,8 @@ EDIT, SOUND, SHORT, NICK, INITIAL, MISSING = -4.0, -2.0, -2.0, -1.0, -3.0, -5.0
 MARGIN = 0.7
 #: Spellings of a block that are compared one by one in one task; larger blocks are dealt into parts, which meet in pairs.
 BLOCK = 256
+#: An organisation of at most so many spellings is worked off as a whole by one task; those of larger ones are dealt out by keys.
+GROUP = 20_000
 #: A spelling this much more frequent than typing errors of the candidate would be is no typing error.
 ERROR_SHARE, ERROR_ROWS = 0.2, 10
 
@@ -130,6 +133,8 @@ _SPECIAL = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "
 @lru_cache(maxsize=100_000)
 def fold(text: str) -> str:
     """Lower case without marks on letters."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", text.casefold().translate(_SPECIAL))
     return "".join(c for c in text if not unicodedata.combining(c))
 
@@ -161,22 +166,41 @@ def _is_name(value: str | None) -> bool:
 
 @lru_cache(maxsize=100_000)
 def _value_words(value: str) -> tuple[str, ...]:
+    if value.isascii() and value.replace(" ", "").isalpha():
+        plain = tuple(value.lower().split())
+        if min(map(len, plain)) > 5:  # no title or degree is that long
+            return plain
     text = re.sub(r"(?<=\w)['’`´‘](?=\w)|[*_\"“”]", "", fold(value))
     text = re.sub(r"(?<=\w)[-‐-―](?=\w)", "", text)
     text = re.sub(r"(?<=\w\w\w)\.(?=\w{3})", "", text)  # a stop within a word
     return tuple(w for w in re.split(r"[\W_]+", _DEGREE.sub(" ", text)) if w)
 
 
-def person_words(fname: str | None, lname: str | None, others: list[str | None] = []) -> list[str]:  # noqa: B006
-    """Words of a person's name; values that stand in the wrong field (`others`) are used where a name field holds none."""
+def _untitled(words: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(w for w in words if w not in TITLES) or words
+
+
+@lru_cache(maxsize=100_000)
+def _field(value: str | None) -> tuple[str, ...]:
+    """Words of one field of names."""
+    return _untitled(_value_words(value)) if _is_name(value) else ()
+
+
+def named_words(fname: str | None, lname: str | None, others: list[str | None]) -> tuple[tuple[str, ...], int | None]:
+    """Words of a person's name, and how many of them stand in the field of given names (None where not both fields hold some);
+    values that stand in the wrong field (`others`) are used where a name field holds none."""
     values = [v for v in (fname, lname) if v and v.strip()]
     odd = [v for v in values if not _is_name(v) and any(c.isalnum() for c in v)]
     values = [v for v in values if _is_name(v)]
     if odd:
         values += [v for v in others if _is_name(v)]
-    words = [w for v in values for w in _value_words(v)]
-    full = [w for w in words if w not in TITLES]
-    return full or words
+    words = _untitled(tuple(w for v in values for w in _value_words(v)))
+    a = _field(fname)
+    return words, len(a) if 0 < len(a) < len(words) and a + _field(lname) == words else None
+
+
+def person_words(fname: str | None, lname: str | None, others: list[str | None] = []) -> list[str]:  # noqa: B006
+    return list(named_words(fname, lname, others)[0])
 
 
 letters = lru_cache(maxsize=200_000)(frozenset)
@@ -538,28 +562,43 @@ def _forms(rows: list[tuple[str, int]], kind: str, words: frozenset[str]) -> lis
     return sorted([((-x.rank(), -n, -len(f), f), f, n, x) for f, n, x in people], key=lambda x: x[0])
 
 
-def _fit(kind: str, words: frozenset[str], n: int, x: object, m: int, y: object) -> tuple[float, bool] | None:
-    """Posterior of `x` (`n` rows) as a variant of `y` (`m` rows), and whether it leaves open who is meant; None: it is none."""
-    got = org_likelihood(x, y, words) if kind == "org" else person_likelihood(x, y)
+@lru_cache(maxsize=500_000)
+def _org_fit(a: str, b: str, common: frozenset[str]) -> float | None:
+    return org_likelihood(a.split(" "), b.split(" "), common)
+
+
+def _fit(kind: str, words: frozenset[str], f: str, n: int, x: object, g: str, m: int, y: object) -> tuple[float, bool] | None:
+    """Posterior of `f` (`n` rows, parsed `x`) as a variant of `g`, and whether it leaves open who is meant; None: it is none."""
+    got = _org_fit(f, g, words) if kind == "org" else person_likelihood(x, y)
     if got is None:
         return None
     s, open_ = (got, False) if kind == "org" else got
     return None if s <= EDIT and not open_ and n > max(ERROR_ROWS, ERROR_SHARE * m) else (s + math.log(m), open_)
 
 
-def _attach_block(rows: list[tuple[str, int]], kind: str, words: frozenset[str]) -> Iterator[tuple[str, str, float]]:
-    """Within a block of spellings with counts: (variant, candidate, posterior)."""
+def _attach_block(forms: list[tuple[str, int, object]], kind: str, words: frozenset[str], seen: dict | None = None) -> Iterator[tuple[str, str, float]]:
+    """Within a block of spellings (text, count, parsed), the most canonical first: (variant, candidate, posterior). `seen` keeps what
+    was compared in other blocks."""
     leaders: list[tuple[str, int, object]] = []
     others: list[tuple[str, int, object]] = []
+    seen = {} if seen is None else seen
+
+    def fits(candidates: list, f: str, n: int, x: object) -> list[tuple[float, bool, str]]:
+        found = []
+        for g, m, y in candidates:
+            k = (f, g)
+            if k in seen:
+                got = seen[k]
+            else:
+                got = seen[k] = _fit(kind, words, f, n, x, g, m, y)
+            if got is not None:
+                found.append((*got, g))
+        return sorted(found, key=lambda t: (-t[0], t[2])) if len(found) > 1 else found
 
-    def fits(candidates: list, n: int, x: object) -> list[tuple[float, bool, str]]:
-        found = [(*got, g) for g, m, y in candidates if (got := _fit(kind, words, n, x, m, y)) is not None]
-        return sorted(found, key=lambda t: (-t[0], t[2]))
-
-    for _, f, n, x in _forms(rows, kind, words):
-        found = fits(leaders, n, x)
+    for f, n, x in forms:
+        found = fits(leaders, f, n, x)
         if not found:  # too far from any canonical form, but maybe a variant of a variant
-            found = [t for t in fits(others, n, x) if not t[1]]
+            found = [t for t in fits(others, f, n, x) if not t[1]]
             if not found:
                 leaders.append((f, n, x))
                 continue
@@ -569,6 +608,24 @@ def _attach_block(rows: list[tuple[str, int]], kind: str, words: frozenset[str])
         yield f, found[0][2], found[0][0]
 
 
+def _attach_group(rows: list[tuple[str, int]], kind: str, words: frozenset[str], block: int) -> Iterator[tuple]:
+    """Links within all blocks of one organisation of bounded size (form, parent, score, key, n); the spellings of blocks larger than
+    `block` come out with their key and without a parent."""
+    blocks: dict[str, list[tuple[str, int, object]]] = {}
+    for _, f, n, x in _forms(rows, kind, words):
+        for k in org_keys(x, words) if kind == "org" else person_keys(x):
+            blocks.setdefault(k, []).append((f, n, x))
+    seen: dict = {}
+    for k, forms in blocks.items():
+        if len(forms) > block:
+            number = int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), "little", signed=True)
+            for f, n, _ in forms:
+                yield f, None, None, number, n
+        elif len(forms) > 1:
+            for x in _attach_block(forms, kind, words, seen):
+                yield *x, None, None
+
+
 def _attach_parts(rows: list[tuple[str, int, int, bool | None]], crossed: bool, kind: str, words: frozenset[str]) -> Iterator[tuple[str, str, float, bool]]:
     """Of two parts of a large block (spelling, count, part, leads), or of one with itself: (variant, candidate, posterior, open).
 
@@ -579,7 +636,7 @@ def _attach_parts(rows: list[tuple[str, int, int, bool | None]], crossed: bool,
     for _, f, n, x in _forms([(f, n) for f, n, _, _ in rows], kind, words):
         p, leads = known[f]
         if not leads:
-            found = [(*got, g) for g, m, y in before if not (crossed and known[g][0] == p) and (got := _fit(kind, words, n, x, m, y)) is not None]
+            found = [(*got, g) for g, m, y in before if not (crossed and known[g][0] == p) and (got := _fit(kind, words, f, n, x, g, m, y)) is not None]
             found.sort(key=lambda t: (-t[0], t[2]))
             if leads is None:
                 found = [*[t for t in found if not t[1]][:1], *[t for t in found if t[1]][:1]]
@@ -606,7 +663,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], width: int = 2, most: int | None
         yield now, rows, part
 
 
-def _attach(forms: DataFrame, kind: str, words: frozenset[str], block: int = BLOCK) -> DataFrame:
+def _attach(forms: DataFrame, kind: str, words: frozenset[str], block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(`org`, `form`, `parent`): the candidate each variant of `forms` (`org`, `form`, `n`) goes to."""
     spark = forms.sparkSession
     held = spark.sparkContext.broadcast(words)
@@ -625,7 +682,19 @@ def _attach(forms: DataFrame, kind: str, words: frozenset[str], block: int = BLO
             if part or len(rows) > block:
                 out += [(org, f, None, None, key, n) for f, n in rows]
             elif len(rows) > 1:
-                out += [(org, *x, None, None) for x in _attach_block(rows, kind, known)]
+                out += [(org, *x, None, None) for x in _attach_block([x[1:] for x in _forms(rows, kind, known)], kind, known)]
+            if len(out) > 10_000:
+                yield _columns(out, small_schema)
+                out = []
+        if out:
+            yield _columns(out, small_schema)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within whole organisations: their blocks need no shuffle."""
+        known, out = held.value, []
+        for (org,), rows, _ in _grouped(batches, 1):
+            if len(rows) > 1:
+                out += [(org, *x) for x in _attach_group(rows, kind, known, block)]
             if len(out) > 10_000:
                 yield _columns(out, small_schema)
                 out = []
@@ -644,11 +713,15 @@ def _attach(forms: DataFrame, kind: str, words: frozenset[str], block: int = BLO
 
     small_schema = {"org": pa.int64(), "form": pa.string(), "parent": pa.string(), "score": pa.float64(), "key": pa.int64(), "n": pa.int64()}
     parts_schema = {"org": pa.int64(), "key": pa.int64(), "form": pa.string(), "parent": pa.string(), "score": pa.float64(), "open": pa.bool_()}
-    keyed = forms.select("org", "form", "n").mapInArrow(emit, "org long, key string, form string, n long")
+    forms = forms.select("org", "form", "n")
+    many = cut(forms.groupBy("org").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > group).select("org"))
+    whole = forms.join(many, "org", "left_anti").repartition(parallelism(spark), "org").sortWithinPartitions("org")
+    links_schema = "org long, form string, parent string, score double, key long, n long"
+    keyed = forms.join(many, "org", "left_semi").mapInArrow(emit, "org long, key string, form string, n long")
     # sorted by number, which is short; rows of two keys that share one part where the organisation changes
     numbered = keyed.select("org", F.xxhash64("org", "key").alias("key"), "form", "n")
     blocks = numbered.repartition(parallelism(spark), "key").sortWithinPartitions("key", "org")
-    done = cut(blocks.mapInArrow(small, "org long, form string, parent string, score double, key long, n long"))
+    done = cut(blocks.mapInArrow(small, links_schema).unionByName(whole.mapInArrow(inside, links_schema)))
     links = done.where("parent is not null").select("org", "form", "parent", "score")
     large = done.where("parent is null").select("org", "key", "form", "n")
     if not large.isEmpty():
@@ -710,16 +783,14 @@ def parsed(df: DataFrame, key: str) -> DataFrame:
     person is named; how many of the person's words stand in the field of given names, null where not both fields hold some;
     the key of the record by which written copies are told."""
     kind = df.schema[key].dataType.simpleString()
-    field = lambda v: person_words(v, None) if _is_name(v) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fn, ln, co, em, ph = (c.to_pylist() for c in batch.columns[1:6])
-            people = [person_words(a, b, [e, p]) for a, b, e, p in zip(fn, ln, em, ph, strict=True)]
+            people = [named_words(a, b, [e, p]) for a, b, e, p in zip(fn, ln, em, ph, strict=True)]
             named = [any(c.isalnum() for c in (a or "") + (b or "")) for a, b in zip(fn, ln, strict=True)]
-            first = [n if 0 < (n := len(x := field(a))) < len(w) and x + field(b) == w else None for a, b, w in zip(fn, ln, people, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([" ".join(w) for w in people], pa.string()), pa.array([" ".join(org_words(c)) for c in co], pa.string()), pa.array(named, pa.bool_()), pa.array(first, pa.int32()), batch.column(6)],
+                [batch.column(0), pa.array([" ".join(w) for w, _ in people], pa.string()), pa.array([" ".join(org_words(c)) for c in co], pa.string()), pa.array(named, pa.bool_()), pa.array([n for _, n in people], pa.int32()), batch.column(6)],
                 ["row_id", "person", "company", "named", "first", "copy"],
             )
 
