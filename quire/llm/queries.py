@@ -51,6 +51,12 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest").alias("longest"))
 
 
+def p7_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of which at least half the words lie in tiles of one document, with the documents."""
+    out = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_coverage=0.5)
+    return out.select("item_id", "doc_id", "coverage")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
 
@@ -95,7 +101,7 @@ _SQL_P7 = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_entities": p3_entities, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_slots": p8_slots}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_entities": p3_entities, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p7_leaked": p7_leaked, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_slots": p8_slots}
 
 
 def oracle_sql() -> dict[str, str]:

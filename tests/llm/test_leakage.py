@@ -1,6 +1,6 @@
 import random
 
-from quire.llm.leakage import leaks
+from quire.llm.leakage import Items, leaks, scan_batch
 from quire.llm.words import words
 
 VOCABULARY = [f"w{i}" for i in range(40)] + ["don't", "Café", "10"]
@@ -60,3 +60,44 @@ def test_reordered_passages(spark):
     r = leaks(df(item + " " + item), items).first()
     assert (r.tiles, r.words) == (1, 60)  # the item's words are covered once only
     assert leaks(df(mixed), items, min_coverage=1.0).count() == 1 and leaks(df(" ".join(text[:30])), items, min_coverage=0.6).count() == 0
+
+
+def naive_tiles(a, b, k):
+    """Greedy string tiling by looking at every pair of places; ties: the first in the text, then the first diagonal."""
+    used_a, used_b, tiles = [False] * len(a), [False] * len(b), []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
+                    n += 1
+                if n >= k and (best is None or (-n, i, i - j) < best):
+                    best = (-n, i, i - j)
+        if best is None:
+            return tiles
+        n, i, d = -best[0], best[1], best[2]
+        tiles.append((i, i - d, n))
+        for x in range(n):
+            used_a[i + x] = used_b[i - d + x] = True
+
+
+def test_tiling_against_every_pair():
+    rnd = random.Random(4)
+    for k in (2, 3):
+        for _ in range(150):
+            letters = "ab" if rnd.random() < 0.5 else "abcd"
+            texts = [" ".join(rnd.choice(letters) for _ in range(rnd.randrange(25))) for _ in range(3)]
+            rows = [(i, " ".join(rnd.choice(letters) for _ in range(rnd.randrange(14)))) for i in range(3)]
+            got = {(d, i): (n, w, longest) for d, i, n, w, longest in scan_batch(texts, Items(rows, k))}
+            want = {(d, i): (len(t), sum(x[2] for x in t), max(x[2] for x in t)) for d, text in enumerate(texts) for i, (_, item) in enumerate(rows) if (t := naive_tiles(text.split(), item.split(), k))}
+            assert got == want
+
+
+def test_one_word_over_and_over():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = scan_batch(["spam " * 100_000, "x " * 5_000], Items([(7, "spam " * 300), (8, "spam " * 20_000), (9, "x y " * 100)], 12))
+    assert got == [(0, 0, 1, 300, 300), (0, 1, 1, 20_000, 20_000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kilobytes
