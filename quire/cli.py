@@ -18,6 +18,7 @@ from quire.errors import QuireError
 from quire.functions.scalar import humanize, round_significant, tokens
 from quire.operators import storage as st
 from quire.plans.engine import STORAGE, Engine
+from quire.sources import backup
 
 PAGE = 25
 
@@ -131,11 +132,18 @@ class Shell:
     def do_compact(self, n: str = "0", deleted: str = "") -> None:
         self.engine.compact(self._current(), int(n), deleted=deleted == "deleted")
 
-    def do_backup(self, path: str) -> None:
-        self.say(self.engine.export(self._current(), path))
+    def do_backup(self, path: str, start: str = "0") -> None:
+        """Writes the records of the storage, from an id on, as a binary backup."""
+        name = self._current()
+        self.say(backup.write_binary(self.engine.read(name), path, self.engine.collections[name].next_id, start=int(start)))
 
     def do_restore(self, path: str) -> None:
-        self.engine.restore_backup(self._current(), st.read_backup(self.engine.spark, path))
+        """Takes over the records of a backup, binary or exported, that the storage lacks."""
+        spark, files = self.engine.spark, self.engine.files
+        folder = files.path(path)
+        inside = [f.getPath().getName() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+        rows = st.read_backup(spark, path) if any(n.endswith(".parquet") for n in inside) else backup.read_binary(spark, path)
+        self.engine.restore_backup(self._current(), rows)
 
     def do_chkstorage(self) -> None:
         if not self.show(self.engine.check_storage(self._current())):

@@ -18,6 +18,8 @@ from quire.common import parallelism, scratch
 
 #: Rows of changes per bucket on average; about 100 bytes each in memory.
 BUCKET_ROWS = 1_000_000
+#: Memory of the database of one task.
+MEMORY = "700MB"
 #: Documents the upsert before the shuffle holds before it passes them on.
 COMBINE_ROWS = 400_000
 
@@ -34,7 +36,8 @@ _UPSERT = """
 def _upserts(batches: Iterator[pa.RecordBatch], flush: int | None) -> Iterator[pa.RecordBatch]:
     import duckdb
 
-    con = duckdb.connect(":memory:", config={"threads": 1})
+    # no spill to a folder of the machine: a bucket is small enough for its share of memory, or fails
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
     con.execute(_CREATE)
     held = 0
     for batch in batches:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.files import SPLIT_BYTES, read_records
+
 # Words for truth.
 TRUE = ["y", "t", "true", "yes", "on"]
 FALSE = ["n", "f", "false", "no", "off"]
@@ -48,10 +52,18 @@ def map_columns(raw: DataFrame, mapping: dict[str, str], types: dict[str, str] |
     return raw.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, mapping: dict[str, str], *, types: dict[str, str] | None = None, sep: str = ",", quote: str = '"') -> DataFrame:
-    """Records of a file with a header; quoted fields may hold separators, line breaks and doubled quotes; empty lines are skipped."""
-    raw = spark.read.csv(path, header=True, sep=sep, quote=quote, escape=quote, multiLine=True, inferSchema=False, mode="PERMISSIVE")
-    return map_columns(raw, mapping, types)
+def read_csv(spark: SparkSession, path: str, mapping: dict[str, str], *, types: dict[str, str] | None = None, sep: str = ",", quote: str = '"', split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of files with a header, which must be the same in all; quoted fields may hold separators, line breaks and doubled
+    quotes; empty lines are skipped. A file is read by as many tasks as it has splits."""
+    lines = read_records(spark, path, sep=sep, quote=quote, split_bytes=split_bytes)
+    first = lines.where("at = 0").orderBy("file").head(1)
+    if not first:
+        return map_columns(spark.createDataFrame([], "`-` string"), mapping, types)
+    header = next(csv.reader([first[0].raw_line.lstrip("\ufeff")], delimiter=sep, quotechar=quote))
+    # a repeated or empty name of a column cannot be mapped
+    names = [h.strip() if h.strip() and h not in header[:i] else f"_{i}" for i, h in enumerate(header)]
+    row = F.from_csv(F.col("raw_line"), ", ".join(f"`{h.replace('`', '')}` string" for h in names), {"sep": sep, "quote": quote, "escape": quote})
+    return map_columns(lines.where("at > 0").select(row.alias("r")).select("r.*"), mapping, types)
 
 
 def parse_csv(lines: DataFrame, column: str, header: list[str], mapping: dict[str, str], *, types: dict[str, str] | None = None, sep: str = ",") -> DataFrame:
