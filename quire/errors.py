@@ -27,3 +27,11 @@ class CommitConflict(DatabaseError):
 
 class DeadlockError(DatabaseError):
     """Batches wait for keys that each other holds."""
+
+
+class JsonError(QuireError, ValueError):
+    """A text is no JSON; `kind` is one of eof, number, character, keyword, comma, key, colon, dupkey, unknown."""
+
+    def __init__(self, kind: str):
+        super().__init__(kind)
+        self.kind = kind

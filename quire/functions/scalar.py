@@ -22,6 +22,15 @@ def collation_key(c: Column, locale: str) -> Column:
     return F.collate(c, locale)
 
 
+def utf8(c: Column) -> Column:
+    """Bytes of a text; U+0000 as two bytes, so that a zero byte can end it."""
+    return F.to_binary(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "\\G((?:..)*?)00", "$1C080"), F.lit("hex"))
+
+
+def from_utf8(c: Column) -> Column:
+    return F.decode(F.to_binary(F.regexp_replace(F.hex(c), "\\G((?:..)*?)C080", "$100"), F.lit("hex")), "UTF-8")
+
+
 def to_ticks(c: Column) -> Column:
     """Microseconds since 1970 of a time."""
     return F.unix_micros(c.cast("timestamp"))
@@ -45,6 +54,13 @@ def humanize(n: float) -> str:
     return str(int(n)) if float(n).is_integer() else f"{n:.1f}"
 
 
+def humanized(c: Column) -> Column:
+    """`humanize` of a column."""
+    step = lambda size, unit: F.concat(F.format_string("%.1f", c / F.lit(size)), F.lit(unit))
+    small = F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.format_string("%.1f", c.cast("double")))
+    return F.when(F.abs(c) >= 1e9, step(1e9, "G")).when(F.abs(c) >= 1e6, step(1e6, "M")).when(F.abs(c) >= 1e3, step(1e3, "k")).otherwise(small)
+
+
 def round_significant(x: float, digits: int = 2) -> float:
     return 0.0 if not x else round(x, digits - 1 - math.floor(math.log10(abs(x))))
 

@@ -7,9 +7,12 @@ import math
 from datetime import datetime
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.errors import JsonError
+
 
 class Undefined:
     """Stands for a value that is not there, which differs from null."""
@@ -160,5 +163,52 @@ def to_json(value: Any, *, ascii_only: bool = False, escape_slash: bool = False)
     return out.replace("/", "\\/") if escape_slash else out
 
 
+def _no_twice(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise JsonError("dupkey")
+    return out
+
+
 def from_json(source: str) -> Any:
-    return json.loads(source)
+    """Value of a standard JSON text; JsonError with its `kind` if it is none."""
+    try:
+        return json.loads(source, object_pairs_hook=_no_twice)
+    except json.JSONDecodeError as e:
+        raise JsonError(_kind(e)) from None
+
+
+def _kind(e: json.JSONDecodeError) -> str:
+    rest, before = e.doc[e.pos :], e.doc[: e.pos].rstrip()
+    if not rest.strip() or e.msg.startswith("Unterminated string"):
+        return "eof"
+    if e.msg.startswith("Invalid"):
+        return "character"
+    if before and e.pos == len(before) and before[-1].isdigit() and rest[0] in "0123456789.eE+-" or rest[0] in "-+.":
+        return "number"
+    if e.msg.startswith("Expecting property name") or "before end of object" in e.msg:
+        return "key"
+    if e.msg.startswith("Expecting ':'"):
+        return "colon"
+    if e.msg.startswith("Expecting ','"):
+        return "comma"
+    return "keyword" if rest[0] in "tfn" else "unknown"
+
+
+def error_kind(text: str | None) -> str | None:
+    """Kind of the error that keeps a text from being JSON; None if there is none."""
+    try:
+        if text is not None:
+            from_json(text)
+    except JsonError as e:
+        return e.kind
+    return None
+
+
+def json_error(c: Column) -> Column:
+    """`error_kind` of a column, in Arrow batches; meant for texts that `try_parse` refused."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(error_kind)
+
+    return F.pandas_udf(run, "string")(c)

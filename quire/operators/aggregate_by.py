@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.common import cut
 from quire.operators.aggregates import Spec, expressions, grouped
 
 
@@ -28,13 +29,31 @@ def aggregate_by(df: DataFrame, group: list[str | Column], specs: list[Spec], *,
 
 def aggregate_runs(df: DataFrame, group: list[str], specs: list[Spec], *, keys: list[str], tie: str = "doc_id", within: list[str] | None = None) -> DataFrame:
     """One row per run of equal `group` values in key order, with `run` (from 1). `within`: columns that part the order, so
-    runs are numbered in each part; without them the order is one sequence, which one task walks."""
-    w = Window.partitionBy(*(within or [])).orderBy(*[F.col(k) for k in keys], F.col(tie))
+    runs are numbered in each part. Without them the order is one sequence; it is dealt out by ranges, and only the first and
+    last group of each range are looked at together."""
     now = F.struct(*[F.col(g) for g in group])
-    marked = df.withColumn("_new", F.when(F.lag(now).over(w).eqNullSafe(now), 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("_new").over(w))
-    extra = [c for c in (within or []) if c not in group]
-    return runs.groupBy(*extra, *group, "run").agg(*expressions(specs, _order(keys, tie)))
+    if within:
+        w = Window.partitionBy(*within).orderBy(*[F.col(k) for k in keys], F.col(tie))
+        marked = df.withColumn("_new", F.when(F.lag(now).over(w).eqNullSafe(now), 0).otherwise(1))
+        runs = marked.withColumn("run", F.sum("_new").over(w))
+        extra = [c for c in within if c not in group]
+        return runs.groupBy(*extra, *group, "run").agg(*expressions(specs, _order(keys, tie)))
+    order = [F.col(k).asc_nulls_first() for k in [*keys, tie]]
+    parts = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    w = Window.partitionBy("_part").orderBy("_at")
+    marked = placed.withColumn("_new", F.when(F.lag(F.lit(1)).over(w).isNull() | F.lag(now).over(w).eqNullSafe(now), 0).otherwise(1))
+    edges = marked.groupBy("_part").agg(F.min_by(now, "_at").alias("first"), F.max_by(now, "_at").alias("last"), F.sum("_new").alias("more")).orderBy("_part").collect()  # one row per partition
+    base, run, last = {}, 0, None
+    for e in edges:
+        run += 0 if last is not None and e["first"] == last else 1
+        base[e["_part"]] = run
+        run, last = run + e["more"], e["last"]
+    if not base:
+        return df.groupBy(*group, F.lit(1).cast("long").alias("run")).agg(*expressions(specs, _order(keys, tie))).limit(0)
+    start = F.create_map(*[x for p, b in base.items() for x in (F.lit(p), F.lit(b))])
+    runs = marked.withColumn("run", (start[F.col("_part")] + F.sum("_new").over(w)).cast("long"))
+    return runs.groupBy(*group, "run").agg(*expressions(specs, _order(keys, tie)))
 
 
 def refresh(old: DataFrame, rows: DataFrame, dirty: DataFrame, group: list[str], specs: list[Spec], **how) -> DataFrame:

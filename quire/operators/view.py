@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quire.errors import RecordNotFound
 from quire.operators import keys as K
+from quire.operators.storage import dense_ids
 
 
 @dataclass(frozen=True)
@@ -128,8 +130,8 @@ class View:
         return self.reverse().page(n, before)
 
     def numbered(self) -> DataFrame:
-        """The selection with `offset`, the number of rows before each. Meant for selections of bounded size."""
-        return self.df.withColumn("offset", F.row_number().over(Window.orderBy(*self.order())) - 1)
+        """The selection with `offset`, the number of rows before each; rows are dealt out by ranges and counted per range."""
+        return dense_ids(self.df, 0, self.order()).select(*self.df.columns, F.col("id").alias("offset")) if "id" not in self.df.columns else dense_ids(self.df.withColumnRenamed("id", "_id"), 0, self.order()).withColumnsRenamed({"id": "offset", "_id": "id"})
 
     def find(self, key: Any) -> Row:
         """The first row of `key`; RecordNotFound if there is none."""
@@ -148,18 +150,44 @@ class View:
     def count(self) -> int:
         return self.df.count()
 
-    def approx_count(self, exact: int = 30) -> int:
-        """Exact up to `exact` rows; beyond that extrapolated from the size the optimizer expects of the selection."""
+    def approx_count(self, exact: int = 30, files: int = 8) -> int:
+        """Exact up to `exact` rows, or where the rows lie in `files` files or fewer; else the rows of the selection in so many files,
+        spread over all, extrapolated by bytes."""
         first = self.df.limit(exact + 1).count()
-        if first <= exact:
-            return first
-        whole = max(1, self.approx_bytes())
-        width = max(1, self.df._jdf.schema().defaultSize())
-        return max(first, whole // width)
+        paths = sorted(self.df.inputFiles())
+        if first <= exact or len(paths) <= files:
+            return first if first <= exact else self.df.count()
+        picked = [paths[i * len(paths) // files] for i in range(files)]
+        sizes = self._sizes(paths)
+        try:
+            # a condition on the file's path leaves the other files unread
+            named = [*picked, *[p.replace("file:///", "file:/") for p in picked if p.startswith("file:///")]]
+            found = self.df.where(F.col("_metadata.file_path").isin(named)).count()
+        except AnalysisException:  # a selection that is no plain scan any more
+            return self.df.count()
+        return max(first, round(found * sum(sizes.values()) / max(1, sum(sizes[p] for p in picked))))
+
+    def _sizes(self, paths: list[str]) -> dict[str, int]:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(paths[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return {p: int(fs.getFileStatus(path(p)).getLen()) for p in paths}
 
     def approx_bytes(self) -> int:
-        """Size of the selection as the optimizer's statistics have it."""
-        return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        """Bytes of files that the selection takes up: those of all its files, by the share of their rows."""
+        paths = sorted(self.df.inputFiles())
+        if not paths:
+            return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        whole = self.df.sparkSession.read.parquet(*paths).count()  # from the footers
+        return round(sum(self._sizes(paths).values()) * self.approx_count() / max(1, whole))
+
+    def progress(self, at: Row) -> tuple[int, int, int]:
+        """Approximate bytes of the selection: all, up to the row `at`, and after it."""
+        names = [k.name for k in K.key_columns(self.keys)] + ([self.tie] if self.tie else [])
+        key = tuple(at[c] for c in names)
+        after = (K.less_than if self.reversed_ else K.greater_than)(names, key)
+        total, rest = self.approx_bytes(), replace(self, df=self.df.where(after)).approx_bytes()
+        return total, max(0, total - rest), rest
 
     def documents(self, storage: DataFrame | None = None) -> DataFrame:
         """Rows with the document of each (outer: a missing document gives nulls); `storage` (id, document, ...)."""

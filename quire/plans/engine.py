@@ -307,6 +307,12 @@ class Engine:
             rows.append((c.name, len(c.folders()), sum(a for a, _ in sizes), sum(b for _, b in sizes)))
         return self.spark.createDataFrame(rows, "name string, folders int, files int, bytes long")
 
+    def file_changes(self, old: int, new: int) -> DataFrame:
+        """(`folder`, `change`): folders that version `new` has and `old` lacks (added), or the other way (removed)."""
+        a, b = (({f for c in self.snapshot(v).collections.values() for f in c.folders()} if v else set()) for v in (old, new))
+        rows = [(f, "added") for f in sorted(b - a)] + [(f, "removed") for f in sorted(a - b)]
+        return self.spark.createDataFrame(rows, "folder string, change string")
+
     def find_everywhere(self, doc_id: int) -> DataFrame | None:
         """The record of this id in every storage, with the collection's name."""
         out = None

@@ -33,6 +33,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings customers customer_lines doc_records index_updates exported_docs eval_items pack_specs".split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -616,11 +619,11 @@ def csv_conversions(spark, sf):
 
 
 @query(
-    " UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"))
+    " UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS n FROM {t}" for t in TABLES)
 )
 def catalog_stats(spark, sf):
     out = None
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
+    for t in TABLES:
         one = table(spark, sf, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("collection"), "n")
         out = one if out is None else out.unionByName(one)
     return out

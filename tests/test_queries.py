@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from quire.plans import problems, queries
+from quire.plans import engine_queries, problems, queries
 
 DATA = os.environ.get("QUIRE_TEST_DATA", "/root/testdata/sf0.001")
-ALL = {**queries.queries(), **problems.queries()}
-SQL = {**queries.oracle_sql(), **problems.oracle_sql()}
+ALL = {**queries.queries(), **engine_queries.queries(), **problems.queries()}
+SQL = {**queries.oracle_sql(), **engine_queries.oracle_sql(), **problems.oracle_sql()}
 
 
 def plain(v):
