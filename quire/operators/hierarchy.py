@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.common import cut, parallelism, skew_lookup
+from quire.operators.storage import dense_ids
 
 #: Nodes of a quotient forest that one task solves: four arrays of 8 bytes each.
 BASE = 50_000
@@ -166,18 +167,46 @@ def hierarchy(df: DataFrame, *, id_col: str = "id", parent_col: str = "previous_
     return _solve(nodes, n, bits, 0, base, bucket).select(F.col("id").alias("id"), F.col("root").alias("root_id"), "depth")
 
 
+def _forest(df: DataFrame, id_col: str, parent_col: str, how: dict) -> tuple[DataFrame, DataFrame]:
+    """`hierarchy` of `df`, and the links (id, parent) between nodes whose history ends; both written."""
+    whole = cut(hierarchy(df, id_col=id_col, parent_col=parent_col, **how))
+    return whole, cut(links(df, id_col, parent_col).join(whole.where("depth > 0").select("id"), "id", "left_semi"))
+
+
+def _sizes(whole: DataFrame, edges: DataFrame, how: dict) -> DataFrame:
+    """(`id`, `size`): nodes of the subtree of each node whose history ends, itself included.
+
+    A walk around each tree enters and leaves every node once; it is a list of twice as many steps, and the distance of a step
+    to the end of the list is its depth in a forest without branches. So the shape of the trees is no matter: a subtree has
+    half as many nodes as there are steps from entering to leaving it."""
+    enter, leave = (lambda c: F.col(c) * 2 + 2), (lambda c: F.col(c) * 2 + 3)
+    first = edges.groupBy("parent").agg(F.min("id").alias("child")).withColumnRenamed("parent", "id")
+    # the next child of the same parent: the next edge in order, so that a parent of very many children is no window of one task
+    listed = cut(dense_ids(edges.select(F.col("id").alias("node"), "parent"), 0, [F.col("parent"), F.col("node")]))
+    after = listed.select((F.col("id") - 1).alias("id"), F.col("node").alias("next"), F.col("parent").alias("of"))
+    siblings = listed.join(after, "id", "left").select(F.col("node").alias("id"), "parent", F.when(F.col("of") == F.col("parent"), F.col("next")).alias("next"))
+    nodes = whole.where("depth >= 0").select("id").join(first, "id", "left").join(siblings, "id", "left")
+    there = F.struct(enter("id").alias("step"), F.coalesce(enter("child"), leave("id")).alias("then"))
+    back = F.struct(leave("id").alias("step"), F.coalesce(enter("next"), leave("parent")).alias("then"))
+    steps = nodes.select(F.explode(F.array(there, back)).alias("s")).select("s.*")
+    walked = hierarchy(steps, id_col="step", parent_col="then", **how)
+    # both steps of a node are rows of one key
+    return walked.groupBy(F.shiftright(F.col("id") - 2, 1).alias("id")).agg(((F.max("depth") - F.min("depth") + 1) / 2).cast("long").alias("size"))
+
+
 def path_pieces(df: DataFrame, *, id_col: str = "id", parent_col: str = "previous_id", **how) -> DataFrame:
     """Full paths in linear space: (`id`, `piece_id`, `position`, `from_piece`, `from_position`, `root_id`, `depth`).
 
-    Each node passes its line on to its smallest child, so the forest falls into pieces without branches. `piece_id` is the
-    first node of the node's piece and `position` its place there; the piece hangs below the node at `from_position` of
-    piece `from_piece` (null: it starts at a root). The path of a node is the piece's part up to it, before that the part
-    of `from_piece` up to `from_position`, and so on; its descendants are the nodes after it on its piece and those of all
-    pieces below one of these. Nodes of endless histories have null pieces and depth -1.
+    Each node passes its line on to the child with the largest subtree (ties: the smallest id), so the forest falls into pieces
+    without branches, and a path over n nodes changes its piece at most log2 n times. `piece_id` is the first node of the
+    node's piece and `position` its place there; the piece hangs below the node at `from_position` of piece `from_piece`
+    (null: it starts at a root). The path of a node is the piece's part up to it, before that the part of `from_piece` up to
+    `from_position`, and so on; its descendants are the nodes after it on its piece and those of all pieces below one of
+    these. Nodes of endless histories have null pieces and depth -1.
     """
-    whole = cut(hierarchy(df, id_col=id_col, parent_col=parent_col, **how))
-    edges = cut(links(df, id_col, parent_col).join(whole.where("depth > 0").select("id"), "id", "left_semi"))
-    heirs = edges.groupBy("parent").agg(F.min("id").alias("id")).select("id", F.col("parent").alias("heir_of"))
+    whole, edges = _forest(df, id_col, parent_col, how)
+    sized = edges.join(_sizes(whole, edges, how), "id")
+    heirs = sized.groupBy("parent").agg(F.min_by("id", F.struct(-F.col("size"), "id")).alias("id")).select("id", F.col("parent").alias("heir_of"))
     lines = whole.where("depth >= 0").join(heirs, "id", "left").select("id", F.col("heir_of").alias("parent"))
     placed = cut(hierarchy(lines, id_col="id", parent_col="parent", **how).select("id", F.col("root_id").alias("piece_id"), F.col("depth").alias("position")))
     heads = edges.join(placed.where("position = 0").select("id"), "id", "left_semi")
@@ -205,7 +234,7 @@ def _look(front: DataFrame, table: DataFrame) -> DataFrame:
 def ancestors(pieces: DataFrame, nodes: DataFrame) -> DataFrame:
     """(`id`, `ancestor_id`, `distance`) for each id of `nodes` (id) and each node on its path, itself at distance 0.
 
-    `pieces` comes from `path_pieces` and should be stored. One round per change of piece on the longest path; the result is as
+    `pieces` comes from `path_pieces` and should be stored. At most log2 n rounds, one per change of piece on a path; the result is as
     large as the paths are long, so `nodes` should be a part of the forest. Nodes of endless histories have no path."""
     member = pieces.where("piece_id is not null").select(F.col("piece_id").alias("of_piece"), "position", F.col("id").alias("ancestor_id"), F.col("depth").alias("at"))
     heads = pieces.where("position = 0 and from_piece is not null").select(F.col("piece_id").alias("piece"), "from_piece", "from_position")
@@ -234,35 +263,8 @@ def descendants(pieces: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def descendant_counts(pieces: DataFrame) -> DataFrame:
-    """(`id`, `descendants`) for each id of `pieces`: how many nodes come after it, -1 for nodes of endless histories.
-
-    `pieces` comes from `path_pieces` and should be stored. The result is linear in size. One round per change of piece on the
-    longest path: what hangs below a piece is added up from the last pieces to the first."""
-    lines = pieces.where("piece_id is not null").select("id", F.col("piece_id").alias("piece"), "position")
-    length = lines.groupBy("piece").agg(F.count(F.lit(1)).alias("length"))
-    heads = pieces.where("position = 0 and piece_id is not null").select(F.col("piece_id").alias("piece"), "from_piece", "from_position")
-    nested = hierarchy(heads, id_col="piece", parent_col="from_piece").select(F.col("id").alias("piece"), F.col("depth").alias("level"))
-    tops = cut(heads.join(length, "piece").join(nested, "piece"))
-    last = tops.agg(F.max("level")).first()[0]
-    out, below = None, None
-    for level in range(last if last is not None else -1, -1, -1):
-        now = tops.where(F.col("level") == level)
-        if below is not None:
-            sums = below.groupBy(F.col("from_piece").alias("piece")).agg(F.sum("total").alias("more"))
-            now = now.join(sums, "piece", "left")
-        else:
-            now = now.withColumn("more", F.lit(0).cast("long"))
-        below = cut(now.select("piece", "from_piece", "from_position", "length", (F.col("length") + F.coalesce("more", F.lit(0))).alias("total")))
-        out = below if out is None else out.unionByName(below)
-    if out is None:
-        return pieces.select("id", F.lit(-1).cast("long").alias("descendants"))
-    hung = out.where("from_piece is not null").groupBy(F.col("from_piece").alias("piece"), F.col("from_position").alias("position")).agg(F.sum("total").alias("add"))
-    # what hangs from a place on: of the rest of its block, and of the blocks after it
-    block = F.floor(F.col("position") / SPAN)
-    placed = lines.join(hung, ["piece", "position"], "left").select("id", "piece", "position", block.alias("span"), (F.coalesce("add", F.lit(0)) + 1).alias("own"))
-    inner = Window.partitionBy("piece", "span").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outer = Window.partitionBy("piece").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
-    later = placed.groupBy("piece", "span").agg(F.sum("own").alias("s")).select("piece", "span", F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("later"))
-    counted = placed.select("id", "piece", "span", F.sum("own").over(inner).alias("rest")).join(later, ["piece", "span"]).select("id", (F.col("rest") + F.col("later") - 1).alias("descendants"))
-    return counted.unionByName(pieces.where("piece_id is null").select("id", F.lit(-1).cast("long").alias("descendants")))
+def descendant_counts(df: DataFrame, *, id_col: str = "id", parent_col: str = "previous_id", **how) -> DataFrame:
+    """(`id`, `descendants`) for each id of `df`: how many nodes come after it, -1 for nodes of endless histories. The result is
+    linear in size, and no round depends on how trees branch."""
+    whole, edges = _forest(df, id_col, parent_col, how)
+    return whole.select("id").join(_sizes(whole, edges, how), "id", "left").select("id", F.coalesce(F.col("size") - 1, F.lit(-1).cast("long")).alias("descendants"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.common import cut
+from quire.common import cut, parallelism
 from quire.errors import ReferencedDocumentNotFound
 
 SCHEMA = "id long, previous_id long, deleted boolean, has_value boolean, document string"
@@ -44,7 +44,7 @@ def last_id(rev: DataFrame) -> DataFrame:
 def dense_ids(df: DataFrame, first: int, order: list[Column]) -> DataFrame:
     """`df` with `id`, dense from `first` on in `order`. Rows are range partitioned, counted per partition and numbered inside
     each, so no task sees all of them."""
-    parts = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    parts = max(2, parallelism(df.sparkSession))
     placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
     counts = {r._part: r.n for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
     base, at = {}, first

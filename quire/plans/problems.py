@@ -40,7 +40,7 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendant_counts(stored(p2_paths(spark, sf_dir), "pieces"))
+    return hierarchy.descendant_counts(table(spark, sf_dir, "exported_docs"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,16 @@ def oracle_sql() -> dict[str, str]:
             loops AS (SELECT id FROM up WHERE id = anc)
             SELECT id, root_id, depth FROM down
             UNION ALL SELECT up.id, min(up.anc), -1 FROM up WHERE up.anc IN (SELECT id FROM loops) GROUP BY up.id""",
+        "p2_paths": f"""{_SQL_P2},
+            sizes AS (SELECT anc AS id, count(*) AS n FROM up GROUP BY 1),
+            heirs AS (SELECT arg_min(e.id, (-s.n, e.id)) AS id, e.p FROM e JOIN sizes s USING (id) JOIN fine f ON f.id = e.p GROUP BY e.p),
+            heads AS (SELECT id FROM fine WHERE id NOT IN (SELECT id FROM heirs)),
+            line AS (SELECT up.id, arg_min(up.anc, up.distance) AS piece_id, min(up.distance) AS position FROM up JOIN heads ON heads.id = up.anc GROUP BY 1),
+            roots AS (SELECT id, arg_max(anc, distance) AS root_id, max(distance) AS depth FROM up GROUP BY 1),
+            ring(id, anc) AS (SELECT id, p FROM e WHERE id NOT IN (SELECT id FROM fine) UNION SELECT ring.id, e.p FROM ring JOIN e ON e.id = ring.anc)
+            SELECT l.id, l.piece_id, l.position, h.piece_id AS from_piece, h.position AS from_position, r.root_id, r.depth
+            FROM line l JOIN roots r USING (id) JOIN e ON e.id = l.piece_id LEFT JOIN line h ON h.id = e.p
+            UNION ALL SELECT id, NULL, NULL, NULL, NULL, min(anc), -1 FROM ring WHERE anc IN (SELECT id FROM ring WHERE id = anc) GROUP BY id""",
         "p2_ancestors": f"{_SQL_P2} SELECT id, anc AS ancestor_id, distance FROM up WHERE id % 20 = 0",
         "p2_descendants": f"{_SQL_P2} SELECT anc AS id, id AS descendant_id, distance FROM up WHERE anc % 20 = 0 AND distance > 0",
         "p2_descendant_counts": f"{_SQL_P2} SELECT e.id, count(up.id) - 1 AS descendants FROM e LEFT JOIN up ON up.anc = e.id GROUP BY e.id",

@@ -108,10 +108,9 @@ def test_ancestors_and_descendants(spark, monkeypatch, span):
     assert ancestors(pieces, asked.limit(0)).count() == descendants(pieces, asked.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("span", [3, 1024])
-def test_descendant_counts(spark, monkeypatch, span):
-    monkeypatch.setattr(h, "SPAN", span)
-    parent = forest(150, False, 4)
+@pytest.mark.parametrize("far", [False, True])
+def test_descendant_counts(spark, far):
+    parent = forest(150, far, 4)
     df = spark.createDataFrame(list(parent.items()), "id long, previous_id long")
     want = {v: 0 if d >= 0 else -1 for v, (_, d) in brute(parent).items()}
     for v, (_, d) in brute(parent).items():
@@ -119,6 +118,20 @@ def test_descendant_counts(spark, monkeypatch, span):
         for _ in range(d):
             x = parent[x]
             want[x] += 1
-    rows = descendant_counts(stored(path_pieces(df, bits=5, base=10), "pieces")).collect()
+    rows = descendant_counts(df, bits=5, base=10).collect()
     assert len(rows) == len(want) and {r.id: r.descendants for r in rows} == want
-    assert descendant_counts(path_pieces(df.limit(0))).count() == 0
+    assert descendant_counts(df.limit(0)).count() == 0
+
+
+def test_few_changes_of_piece(spark):
+    """A path along which every branching has the smallest id off the path: it stays on one piece."""
+    n = 60
+    rows = [(1000 + i, 999 + i if i else 0) for i in range(n)] + [(1 + i, 1000 + i) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, previous_id long")
+    pieces = {r.id: r for r in path_pieces(df, bits=4, base=10).collect()}
+    assert pieces[1000 + n - 1].piece_id == 1000 and pieces[1000 + n - 1].from_piece is None
+    # complete binary tree: no path has more than log2 n pieces
+    df = spark.createDataFrame([(i, i // 2) for i in range(1, 128)], "id long, previous_id long")
+    pieces = {r.id: r for r in path_pieces(df, bits=4, base=10).collect()}
+    changes = lambda p: 0 if p.from_piece is None else 1 + changes(pieces[p.from_piece])
+    assert max(map(changes, pieces.values())) <= 6
