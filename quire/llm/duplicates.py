@@ -46,9 +46,9 @@ def copies(df: DataFrame, *, key: str = "row_no", fields: list[str] | None = Non
     return keyed(df, key, fields).groupBy("h").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def collisions(df: DataFrame, **how) -> DataFrame:
-    """128-bit hashes that several distinct records share, with their number; expected to be none."""
-    return copies(df, **how).groupBy(F.substring("h", 1, 16).alias("h128")).agg(F.count(F.lit(1)).alias("records")).where("records > 1")
+def collisions(df: DataFrame, *, size: int = 16, **how) -> DataFrame:
+    """Hashes of `size` bytes that several distinct records share, with their number; of 16 bytes expected to be none."""
+    return copies(df, **how).groupBy(F.substring("h", 1, size).alias("h128")).agg(F.count(F.lit(1)).alias("records")).where("records > 1")
 
 
 def copy_pairs(df: DataFrame, *, key: str = "row_no", fields: list[str] | None = None) -> DataFrame:

@@ -27,6 +27,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 LONG_TEXT = 20_000
 #: Rows that share a size are ranked in parts of about so many.
 RANK_ROWS = 100_000
+#: Patterns that are fitted, about.
+PATTERNS = 400_000
 #: Distinct specifications, and the largest capacity, a call accepts: the histogram has at most this many cells each.
 MAX_SPECS, MAX_CAPACITY = 100, 1 << 20
 
@@ -76,57 +78,67 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", to
     return spread(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, f"doc_id {kind}, tokens long")
 
 
-def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, partners: int = 12) -> list[tuple[tuple[int, int], ...]]:
-    """Sets of at most three different sizes, each some times, that fill `capacity` exactly; as (index, times)."""
-    where = {int(s): i for i, s in enumerate(sizes)}
-    # partners are spread over the histogram by weight, so frequent sizes are met more often
+def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of at most three different sizes, each some times, that fill `capacity` exactly: indexes of sizes (-1: none) and times,
+    three of each per pattern. Their number is bounded, whatever the capacity: the more sizes there are, the fewer partners each
+    is tried with."""
+    n = len(sizes)
+    partners = int(np.clip(PATTERNS // (8 * max(1, n)), 1, 12))
+    where = np.full(capacity + 1, -1, np.int64)
+    where[sizes] = np.arange(n)
+    most = capacity // sizes
+    i = np.repeat(np.arange(n), 4)
+    times = np.stack([most, np.maximum(1, most - 1), np.maximum(1, most // 2), np.ones_like(most)], 1).ravel()
+    rest = capacity - times * sizes[i]
+    whole = rest == 0
+    single = np.stack([i[whole], times[whole]], 1)
+    top = np.searchsorted(sizes, rest, "right")
+    some = ~whole & (top > 0)
+    i, times, rest, top = i[some], times[some], rest[some], top[some]
+    # partners are spread over the histogram by weight, so frequent sizes are met more often; the largest that fits is one too
     weight = np.cumsum(counts)
-    found = set()
-    for i, a in enumerate(sizes):
-        a = int(a)
-        most = capacity // a
-        for times in {most, max(1, most - 1), max(1, most // 2), 1}:
-            rest = capacity - times * a
-            if not rest:
-                found.add(((i, times),))
-                continue
-            top = int(np.searchsorted(sizes, rest, "right"))
-            if not top:
-                continue
-            picks = np.searchsorted(weight[:top], (np.arange(partners) + 0.5) / partners * weight[top - 1])
-            for j in {*picks.tolist(), where.get(rest, top - 1)}:
-                b = int(sizes[j])
-                for k in {rest // b, 1}:
-                    last = rest - k * b
-                    if last and last not in where:
-                        continue
-                    total: dict[int, int] = {}
-                    for x, n in ((i, times), (j, k), *([(where[last], 1)] if last else [])):
-                        total[x] = total.get(x, 0) + n
-                    found.add(tuple(sorted(total.items())))
-    return sorted(found)
-
-
-def fit(pats: list[tuple[tuple[int, int], ...]], counts: np.ndarray, rounds: int = 400) -> np.ndarray:
+    share = (np.arange(partners) + 0.5) / partners
+    j = np.concatenate([np.minimum(np.searchsorted(weight, share[None, :] * weight[top - 1][:, None]), top[:, None] - 1), top[:, None] - 1], 1)
+    first, b = np.broadcast_to(rest[:, None], j.shape), sizes[j]
+    found = []
+    for k in (first // b, np.ones_like(b)):
+        last = first - k * b
+        l = np.where(last > 0, where[last], -1)
+        ok = (last == 0) | (l >= 0)
+        found.append(np.stack([np.broadcast_to(i[:, None], j.shape)[ok], np.broadcast_to(times[:, None], j.shape)[ok], j[ok], k[ok], l[ok]], 1))
+    t = np.concatenate(found)
+    index = np.concatenate([np.stack([single[:, 0], np.full(len(single), -1), np.full(len(single), -1)], 1), t[:, [0, 2, 4]]])
+    number = np.concatenate([np.stack([single[:, 1], np.zeros(len(single), np.int64), np.zeros(len(single), np.int64)], 1), np.stack([t[:, 1], t[:, 3], (t[:, 4] >= 0).astype(np.int64)], 1)])
+    for a, b in ((0, 1), (0, 2), (1, 2)):  # one size named twice is one entry
+        same = (index[:, a] == index[:, b]) & (index[:, b] >= 0)
+        number[same, a] += number[same, b]
+        index[same, b], number[same, b] = -1, 0
+    order = np.argsort(-index, axis=1, kind="stable")
+    index, number = np.take_along_axis(index, order, 1), np.take_along_axis(number, order, 1)
+    rows = np.ascontiguousarray(np.concatenate([index, number], 1))
+    rows = np.unique(rows.view(f"V{rows.itemsize * 6}").ravel()).view(np.int64).reshape(-1, 6) if len(rows) else rows
+    return rows[:, :3], rows[:, 3:]
+
+
+def fit(index: np.ndarray, number: np.ndarray, counts: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Repeat counts x >= 0 of the patterns with least squares between their sizes and the histogram (accelerated projected
     gradient; rows are scaled so that rare sizes count too)."""
-    row = np.concatenate([[i for i, _ in p] for p in pats]).astype(np.int64)
-    value = np.concatenate([[n for _, n in p] for p in pats]).astype(float)
-    column = np.repeat(np.arange(len(pats)), [len(p) for p in pats])
+    column, slot = np.nonzero(index >= 0)
+    row, value, n = index[column, slot], number[column, slot].astype(float), len(index)
     scale = 1 / np.sqrt(np.maximum(counts, 1.0))
     value = value * scale[row]
     goal = counts * scale
     # columns are scaled to length one, which bounds the step by the number of patterns that share a size
-    norm = np.sqrt(np.bincount(column, value**2, len(pats)))
+    norm = np.sqrt(np.bincount(column, value**2, n))
     value = value / norm[column]
     times = lambda x: np.bincount(row, value * x[column], len(counts))
-    back = lambda r: np.bincount(column, value * r[row], len(pats))
-    v = np.ones(len(pats))
+    back = lambda r: np.bincount(column, value * r[row], n)
+    v = np.ones(n)
     for _ in range(20):
         v = back(times(v))
         v /= np.linalg.norm(v)
     step = 1 / (1.05 * float(v @ back(times(v))) + 1e-12)
-    x = y = np.zeros(len(pats))
+    x = y = np.zeros(n)
     t = 1.0
     for _ in range(rounds):
         new = np.maximum(0, y - step * back(times(y) - goal))
@@ -150,13 +162,14 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
         left[i] -= n
 
     if len(sizes):
-        pats = patterns(sizes, left.astype(float), capacity)
-        if pats:
-            x = fit(pats, left.astype(float))
-            for j in np.argsort(-x, kind="stable"):
-                n = min([int(x[j]), *[int(left[i]) // m for i, m in pats[j]]])
+        index, number = patterns(sizes, left.astype(float), capacity)
+        if len(index):
+            x = fit(index, number, left.astype(float))
+            for j in np.argsort(-x, kind="stable")[: int((x >= 1).sum())]:
+                parts = [(int(i), int(m)) for i, m in zip(index[j], number[j], strict=True) if i >= 0]
+                n = min([int(x[j]), *[int(left[i]) // m for i, m in parts]])
                 if n > 0:
-                    for i, m in pats[j]:
+                    for i, m in parts:
                         place(i, n, used, m)
                     used += n
     # the rest, largest first: the fullest container that still has room; containers alike are handled as one group
@@ -260,3 +273,17 @@ def usage(packed: DataFrame, specs: DataFrame, *, spec_key: str = "spec_id", cap
     total = boxes.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
     size = specs.select(F.col(spec_key).alias("spec_id"), F.col(capacity).alias("c"))
     return total.join(size, "spec_id").select("spec_id", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("c"))).alias("unused"))
+
+
+def faults(packed: DataFrame, sizes: DataFrame, specs: DataFrame, *, spec_key: str = "spec_id", capacity: str = "capacity_tokens") -> DataFrame:
+    """(`spec_id`, `texts`, `over_full`, `lost`, `torn`) of each specification: texts packed, containers that hold more than they may,
+    texts of `sizes` (`doc_id`, `tokens`) whose pieces are not all there, and texts split although they fit."""
+    size = specs.select(F.col(spec_key).alias("spec_id"), F.col(capacity).alias("c"))
+    boxes = packed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("t")).join(size, "spec_id")
+    over = boxes.groupBy("spec_id").agg(F.count(F.when(F.col("t") > F.col("c"), 1)).alias("over_full"))
+    texts = packed.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("tokens")).alias("end"))
+    want = sizes.crossJoin(F.broadcast(size))  # a few specifications
+    both = want.join(texts, ["spec_id", "doc_id"], "left")
+    bad = F.col("got").isNull() | (F.col("got") != F.col("tokens")) | (F.col("end") != F.col("tokens"))
+    out = both.groupBy("spec_id").agg(F.count("got").alias("texts"), F.count(F.when(bad, 1)).alias("lost"), F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= F.col("c")), 1)).alias("torn"))
+    return out.join(over, "spec_id").select("spec_id", "texts", "over_full", "lost", "torn")

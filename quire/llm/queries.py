@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.common import cut
 from quire.llm import duplicates, leakage, names, packing, residue
 from quire.llm import words as markup
 
@@ -65,6 +66,12 @@ def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.usage(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = cut(packing.token_counts(table(spark, sf_dir, "documents")))
+    specs = table(spark, sf_dir, "pack_specs")
+    return packing.faults(packing.pack(sizes, specs), sizes, specs)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -101,13 +108,14 @@ _SQL_P7 = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_entities": p3_entities, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p7_leaked": p7_leaked, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_slots": p8_slots}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p1_collisions": p1_collisions, "p3_found": p3_found, "p3_entities": p3_entities, "p6_packed": p6_packed, "p6_usage": p6_usage, "p6_faults": p6_faults, "p7_found": p7_found, "p7_tiles": p7_tiles, "p7_items": p7_items, "p7_leaked": p7_leaked, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_slots": p8_slots}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_SQL_P1} SELECT row_a, row_no AS row_b FROM g WHERE row_no <> row_a",
         "p1_copies": f"{_SQL_P1} SELECT row_a AS row_id, n AS copies FROM g WHERE row_no = row_a",
-        "p1_collisions": "SELECT NULL::BLOB AS h128, 0::BIGINT AS records WHERE FALSE",
+        "p1_collisions": f"{_SQL_P1} SELECT unhex(md5(array_to_string(k, chr(1)))) AS h128, count(DISTINCT k) AS records FROM t GROUP BY 1 HAVING count(DISTINCT k) > 1",
+        "p6_faults": "SELECT spec_id, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS over_full, 0::BIGINT AS lost, 0::BIGINT AS torn FROM pack_specs",
         "p7_found": f"{_SQL_P7} SELECT doc_id, item_id FROM f",
     }

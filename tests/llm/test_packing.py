@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quire.llm.packing import TOKENIZER, counter, PATTERN, fit, pack, patterns, plan, token_counts, usage
+from quire.llm.packing import TOKENIZER, counter, PATTERN, faults, fit, pack, patterns, plan, token_counts, usage
 
 SPECS = [(1, 64), (2, 500), (3, 4096)]
 
@@ -49,9 +49,11 @@ def test_empty_and_bad_specs(spark):
 
 def test_fit_and_plan():
     sizes, counts = np.array([2, 3, 5, 8]), np.array([40.0, 20.0, 30.0, 10.0])
-    pats = patterns(sizes, counts, 10)
-    assert all(sum(int(sizes[i]) * n for i, n in p) == 10 for p in pats)
-    x = fit(pats, counts)
+    index, number = patterns(sizes, counts, 10)
+    pats = [[(i, m) for i, m in zip(a, b) if i >= 0] for a, b in zip(index.tolist(), number.tolist())]
+    assert len(pats) >= 5 and all(sum(int(sizes[i]) * n for i, n in p) == 10 and all(n > 0 for _, n in p) for p in pats)
+    assert len({tuple(sorted(p)) for p in pats}) == len(pats) and all(len({i for i, _ in p}) == len(p) for p in pats)
+    x = fit(index, number, counts)
     used = np.zeros(4)
     for p, n in zip(pats, x):
         for i, m in p:
@@ -70,3 +72,27 @@ def test_tokens(spark):
     assert [got[i] for i in range(5)] == count(texts)
     other = token_counts(df, tokenizer="/opt/tokenizers/byte_bpe_50k.json")
     assert {r.doc_id: r.tokens for r in other.where("doc_id < 2 or doc_id > 3").collect()} == {i: n for i, n in got.items() if i not in (2, 3)}
+
+
+def test_faults(spark):
+    sizes, specs = spark.createDataFrame([(1, 70), (2, 30), (3, 0)], "doc_id long, tokens long"), spark.createDataFrame([(1, 64)], "spec_id int, capacity_tokens int")
+    assert tuple(faults(pack(sizes, specs), sizes, specs).first()) == (1, 3, 0, 0, 0)
+    bad = spark.createDataFrame([(1, 0, 1, 0, 0, 64), (1, 0, 2, 0, 0, 10), (1, 1, 2, 1, 10, 20)], "spec_id int, container_id long, doc_id long, piece_no int, start_token long, tokens long")
+    assert tuple(faults(bad, sizes, specs).first()) == (1, 2, 1, 2, 1)
+
+
+def test_texts_around_the_limit_of_the_library():
+    from quire.llm import packing
+
+    count = counter(TOKENIZER, PATTERN)
+    words = "Grüße, 12 more\t\nwords don't\u3000stop -- "
+    text = words * (packing.LONG_TEXT // len(words) + 2)
+    for n in (packing.LONG_TEXT - 1, packing.LONG_TEXT, packing.LONG_TEXT + 1):
+        long, piece = count([text[:n]])[0], packing.LONG_TEXT
+        try:
+            packing.LONG_TEXT = 10 * n
+            assert count([text[:n]])[0] == long
+            packing.LONG_TEXT = 1
+            assert count([text[:n]])[0] == long
+        finally:
+            packing.LONG_TEXT = piece
