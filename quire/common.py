@@ -20,6 +20,9 @@ HOT_ROWS = 50_000
 #: Bytes of an Arrow batch that are worked on at once.
 SLICE_BYTES = 8 << 20
 
+#: Paths made in the shared folder, by application.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where it is unset (tests, local mode) a temporary one."""
@@ -37,8 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; `sweep` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+    if name != "package":
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes what operators of this application left in the shared folder, checkpoints too, and returns the number of folders.
+    To be called when no result is needed any more that was not written elsewhere."""
+    sc = spark.sparkContext
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    held = sc._jsc.sc().getCheckpointDir()
+    gone = _MADE.pop(sc.applicationId, [])
+    if held.isDefined():
+        folder = path(held.get())
+        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        gone += [f.getPath().toString() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    n = 0
+    for name in gone:
+        n += bool(path(name).getFileSystem(sc._jsc.hadoopConfiguration()).delete(path(name), True))
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:

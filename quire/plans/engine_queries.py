@@ -517,7 +517,7 @@ def stream_aggregate(spark, sf):
     path = scratch(spark, "log")
     rev = cut(_rev(log(spark, sf)).withColumn("document", F.when(~F.col("deleted"), F.col("document"))))
     rev.coalesce(1).write.parquet(path)
-    out = feed.Versions(spark, scratch(spark, "sums"), "k int, n long, c long")
+    out = feed.Versions(spark, scratch(spark, "sums"), "k int, n long, c long", ["k"])
     q = feed.maintain_aggregate(spark, path, out, _K, ["k"], [("c", "k", A.Count())], scratch(spark, "stream"))
     q.awaitTermination()
     return out.read().select("k", "n")

@@ -62,11 +62,12 @@ def test_scalar(spark):
     assert (r.s, r.b, r.t) == (99000.0, 2, 1_000_001)
 
 
-def test_streams(spark, tmp_path):
+def test_streams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed, "LAYERS", 2)
     log = str(tmp_path / "log")
     fn = ix.IndexFunction(["k"], ["x"], lambda: [{"k": F.length("document"), "x": F.ascii("document")}])
     index = feed.Versions(spark, str(tmp_path / "index"), "k int, x int, doc_id long")
-    sums = feed.Versions(spark, str(tmp_path / "sums"), "k int, n long, c long, s long, hi int")
+    sums = feed.Versions(spark, str(tmp_path / "sums"), "k int, n long, c long, s long, hi int", ["k"])
     specs = A.composite("x", c=A.Count(), s=A.Sum(), hi=A.Max())
 
     def step(rows):
@@ -81,3 +82,8 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in index.read().collect()} == {(2, 99, 3), (3, 122, 4)}
     got = {r.k: (r.n, r.s, r.hi) for r in sums.read().collect()}
     assert got == {2: (1, 99, 99), 1: (0, 0, 98), 3: (1, 122, 122)}
+    for n in range(6, 10):  # more batches than layers: all rows are written together meanwhile
+        step([(n, n - 1 if n > 6 else 4, False, True, "z" * n)])
+    assert {tuple(r) for r in index.read().collect()} == {(2, 99, 3), (9, 122, 9)}
+    got = {r.k: (r.n, r.s) for r in sums.read().collect()}
+    assert got == {2: (1, 99), 1: (0, 0), 3: (0, 0), 6: (0, 0), 7: (0, 0), 8: (0, 0), 9: (1, 122)}
