@@ -369,7 +369,7 @@ def _posts(docs: DataFrame, key: str, text: str) -> DataFrame:
     mined = stored(templates(rows.where("message is not null").select("leaf", "message")), "templates")
     # what templates with open slots say around them; where the same is said with gaps or non-values, they apply
     bones = mined.where("verdict in ('slots', 'slot')").select("bones").distinct().withColumn("known", F.lit(True))
-    table = cut(mined.join(bones, "bones", "left").where("verdict is not null or known").select("h", "template", "verdict", "nil", F.coalesce("known", F.lit(False)).alias("known")))
+    table = mined.join(bones, "bones", "left").where("verdict is not null or known").select("h", "template", "verdict", "nil", F.coalesce("known", F.lit(False)).alias("known"))
     found = skew_lookup(rows.select("doc_id", "h", "gap", "slots"), "h", table, counts=counts)
     kind = F.when(F.col("known") & (F.col("gap") | F.col("nil")), F.lit("slots")).when(F.col("verdict") == "nils", "slots").otherwise(F.col("verdict"))
     first = stored(found.select("doc_id", "h", "slots", "template", kind.alias("kind")), "messages")
@@ -381,11 +381,11 @@ def _posts(docs: DataFrame, key: str, text: str) -> DataFrame:
     # how templates are used: posts of which all messages but one are residue
     bad = sum((F.col(k) for k in _KINDS), F.lit(0))
     near = posts.where((bad == F.col("messages") - 1) & ((bad > 0) | (F.col("slot") == 1))).select("doc_id", "beside", "theirs")
-    lone = cut(first.where(~sure).select("doc_id", "h", "kind").join(near, "doc_id"))
+    lone = first.where(~sure).select("doc_id", "h", "kind").join(near, "doc_id")
     named = lone.join(mined.select("h", F.col("template").alias("t")), "h")
     used = named.groupBy("t").agg(F.count(F.lit(1)).alias("alone"), F.min("beside").alias("b0"), F.max("beside").alias("b1"), F.max("theirs").alias("theirs"), F.max("kind").alias("kind"))
     company = F.col("kind").isNull() & (F.col("alone") >= COMPANY_POSTS) & (F.col("b0") != F.col("b1"))
-    some = cut(used.where(company | ((F.col("kind") == "slot") & (F.col("alone") >= SLOT_POSTS))))
+    some = used.where(company | ((F.col("kind") == "slot") & (F.col("alone") >= SLOT_POSTS)))
     members = cut(mined.select("h", F.col("template").alias("t")).join(some, "t").join(counts, "h"))
     enough = F.col("alone") >= F.col("total") * F.when(F.col("kind") == "slot", SLOT_SHARE).otherwise(COMPANY_SHARE)
     more = members.join(members.groupBy("t").agg(F.sum("n").alias("total")), "t").where(enough)
