@@ -203,7 +203,7 @@ def person_words(fname: str | None, lname: str | None, others: list[str | None]
     return list(named_words(fname, lname, others)[0])
 
 
-letters = lru_cache(maxsize=200_000)(frozenset)
+letters = lru_cache(maxsize=50_000)(frozenset)
 
 
 @lru_cache(maxsize=200_000)
@@ -518,7 +518,7 @@ def person_likelihood(a: Person, b: Person) -> tuple[float, bool] | None:
     return best
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _less(word: str) -> frozenset[str]:
     """Keys of the word and of all it becomes by leaving out one letter."""
     return frozenset(["-" + word, *("-" + word[:i] + word[i + 1 :] for i in range(len(word)))])
@@ -562,7 +562,7 @@ def _forms(rows: list[tuple[str, int]], kind: str, words: frozenset[str]) -> lis
     return sorted([((-x.rank(), -n, -len(f), f), f, n, x) for f, n, x in people], key=lambda x: x[0])
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=200_000)
 def _org_fit(a: str, b: str, common: frozenset[str]) -> float | None:
     return org_likelihood(a.split(" "), b.split(" "), common)
 

@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +113,7 @@ class _Words(dict):
         self.mask = mask
 
     def __missing__(self, chunk: str) -> str:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         text = _VARS.sub(f" {VAR} ", chunk) if self.mask else chunk
         self[chunk] = out = " ".join(_TOKEN.findall(text.lower()))
@@ -205,7 +206,7 @@ class _Telling(dict):
         self.stems = tuple(sorted(w for w in self.words if len(w) >= 6))
 
     def __missing__(self, t: str) -> bool:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[t] = out = t in (SLOT, NIL, VAR) or not t[0].isalpha() or t in self.words or t.startswith(self.stems) or t.endswith(("error", "exception")) or (len(set(t)) == 1 and len(t) > 2)
         return out
@@ -287,7 +288,7 @@ def _hash(text: str) -> bytes:
 
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per message: `doc_id`, `h` (128 bits of the message), `gap`, `slots` (open ones in it), and, where a task meets it
-    first, else null, `leaf` (64 bits of the leaf of the tree it belongs to) and `message`, the text."""
+    first, else null, `leaf` (32 bits of the leaf of the tree it belongs to; leaves that share them share a task) and `message`, the text."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +304,7 @@ def units(docs: DataFrame, key: str, text: str) -> DataFrame:
             for m, fresh in zip(distinct, new, strict=True):
                 if fresh:
                     hashes[m] = _hash(m)
-            leaf = [int.from_bytes(_hash(Tree.path(m))[:8], "little", signed=True) if fresh else None for m, fresh in zip(distinct, new, strict=True)]
+            leaf = [crc32(Tree.path(m).encode()) if fresh else None for m, fresh in zip(distinct, new, strict=True)]
             first = np.zeros(len(index), bool)
             first[np.unique(index, return_index=True)[1]] = True
             sent = pa.array(index, pa.int64(), mask=~(first & np.array(new, bool)[index])) if len(index) else pa.array([], pa.int64())
